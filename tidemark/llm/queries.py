@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, exact_dedup
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": bpe.query,
+        "op6_streaming_exact_dedup": exact_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_streaming_exact_dedup": exact_dedup.ORACLE,
+    }
