@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup
+from tidemark.llm import bpe, exact_dedup, licenses
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": bpe.query,
+        "op5_license_scan": licenses.query,
         "op6_streaming_exact_dedup": exact_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_license_scan": licenses.ORACLE,
         "op6_streaming_exact_dedup": exact_dedup.ORACLE,
     }
