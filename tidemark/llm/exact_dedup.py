@@ -22,10 +22,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, scratch_path, text_or_empty, written
+from tidemark.llm.common import dropped, scratch_path, settings, text_or_empty, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk, and each partition's store closed when its task ends: an open one holds some 4 MB of disk and memory.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -50,9 +53,7 @@ def update_state(
         ).alias("at"),
     )
     state = keyed.groupBy("digest").agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("n"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    with settings(spark, STATE_CONF):
         run = (
             state.writeStream.format("noop")
             .outputMode("update")
@@ -61,11 +62,6 @@ def update_state(
             .start()
         )
         run.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -90,12 +86,11 @@ def resolve(
 ) -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256) for every row of docs, which state must cover."""
     rows = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("body"))
-    rows = rows.select("id", digest(F.col("body")).alias("digest"), F.sha2("body", 256).alias("sha"), "body")
+    rows = rows.select("id", digest(F.col("body")).alias("digest"), "body")
     found = state.select("digest", "keep_id", "n")
     hit = F.col("n") > 1
-    members = rows.join(found, "digest").select(
-        "id", "digest", "sha", "keep_id", "n", F.when(hit, F.col("body")).alias("body")
-    )
+    # Both uses of members read the same exchange of whole texts.
+    members = rows.join(found, "digest")
     kept = (
         members.filter(hit & (F.col("id") == F.col("keep_id")))
         .groupBy(F.col("keep_id").alias("of"))
@@ -104,9 +99,15 @@ def resolve(
     # A row that stays needs no check; its key is null in the join, and nulls never meet.
     asked = F.when(hit & (F.col("id") != F.col("keep_id")), F.col("keep_id"))
     checked = (
-        members.withColumn("asked", asked)
+        members.select(
+            "id", "digest", "keep_id", "n", F.sha2("body", 256).alias("sha"), asked.alias("asked"),
+            F.when(asked.isNotNull(), F.col("body")).alias("body"),
+        )
         .join(kept, F.col("asked") == F.col("of"), "left")
-        .select("id", "digest", "sha", "keep_id", "n", F.coalesce(F.col("body") == F.col("kept_body"), F.lit(True)).alias("same"))
+        .select(
+            "id", "digest", "sha", "keep_id", "n",
+            F.coalesce(F.col("body") == F.col("kept_body"), F.lit(True)).alias("same"),
+        )
     )
     checked = written(checked, "exact-checked")
     good = checked.filter("same")
@@ -127,7 +128,8 @@ def _regrouped(rows: DataFrame, checked: DataFrame) -> DataFrame:
     clean = checked.join(met, "digest", "left_anti").select("id", "sha", "keep_id", "n")
     again = rows.join(met, "digest", "left_semi")
     groups = again.groupBy("digest", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    return clean.unionByName(again.join(groups, ["digest", "body"]).select("id", "sha", "keep_id", "n"))
+    split = again.join(groups, ["digest", "body"]).select("id", F.sha2("body", 256).alias("sha"), "keep_id", "n")
+    return clean.unionByName(split)
 
 
 def deduplicate(
