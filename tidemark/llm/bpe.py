@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_or_empty
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens kept with their ids in each Python worker (about 160 MB), and the longest one worth keeping.
-CACHE_ENTRIES, CACHE_CHARS = 700_000, 64
+#: Recent pre-tokens kept with their ids in each Python worker, in two generations of this size (about 270 MB
+#: together), and the longest one worth keeping.
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -95,6 +97,7 @@ class Codec:
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.decimal = [str(i) for i in range(size)]
+        self.single = [self.ranks[bytes([i])] for i in range(256)]
         self.queue = RankQueue(size)
         self.seen = _Seen(self)
 
@@ -106,7 +109,7 @@ class Codec:
             return [whole]
         n, push, pop, get = len(piece), self.queue.push, self.queue.pop, ranks.get
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        ids = [ranks[piece[i : i + 1]] for i in range(n)]
+        ids = [self.single[x] for x in piece]
         pair = [get(piece[i : i + 2]) for i in range(n - 1)] + [None, None]
         push([(rank, i) for i, rank in enumerate(pair) if rank is not None])
         while (least := pop()) is not None:
@@ -147,16 +150,21 @@ class Codec:
 
 
 class _Seen(dict):
-    """Packed ids of recent pre-tokens; emptied when full, so its memory is bounded."""
+    """Packed ids of recent pre-tokens. A full generation becomes the old one, and what is asked for again comes back
+    from there, so memory is bounded and frequent pre-tokens stay."""
 
     def __init__(self, codec: Codec) -> None:
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.codec.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        packed = self.old.get(piece)
+        if packed is None:
+            ids = self.codec.merge(piece.encode("utf-8", "surrogatepass"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
