@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, licenses
+from tidemark.llm import bpe, exact_dedup, licenses, packing
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": bpe.query,
+        "op4_cutting_stock_packing": packing.query,
         "op5_license_scan": licenses.query,
         "op6_streaming_exact_dedup": exact_dedup.query,
     }
