@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, licenses, packing
+from tidemark.llm import bpe, exact_dedup, language, licenses, packing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_byte_bpe": bpe.query,
         "op4_cutting_stock_packing": packing.query,
         "op5_license_scan": licenses.query,
+        "op9_segmentation_language_id": language.query,
         "op6_streaming_exact_dedup": exact_dedup.query,
     }
 
