@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, language, licenses, packing
+from tidemark.llm import bpe, exact_dedup, language, licenses, packing, quality
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_cutting_stock_packing": packing.query,
         "op5_license_scan": licenses.query,
         "op9_segmentation_language_id": language.query,
+        "op10_isolation_forest_quality": quality.query,
         "op6_streaming_exact_dedup": exact_dedup.query,
     }
 
