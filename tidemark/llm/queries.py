@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, language, licenses, packing, quality
+from tidemark.llm import bpe, exact_dedup, language, licenses, near_dedup, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": bpe.query,
+        "op3_compression_toxicity": toxicity.query,
         "op4_cutting_stock_packing": packing.query,
         "op5_license_scan": licenses.query,
+        "op7_bag_minhash_near_dedup": near_dedup.query,
         "op9_segmentation_language_id": language.query,
         "op10_isolation_forest_quality": quality.query,
         "op6_streaming_exact_dedup": exact_dedup.query,

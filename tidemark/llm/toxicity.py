@@ -6,7 +6,7 @@ with the number of windows, go through a logistic curve that is calibrated on la
 dictionaries.
 
 Toxic documents are mostly ordinary text, so the toxic dictionary is trained on their distinctive passages: runs of
-character 6-grams found in several toxic documents, in several contexts (a group of near copies has one), and far more
+character 5-grams found in several toxic documents, in several contexts (a group of near copies has one), and far more
 often than in ordinary ones. Its content is put after that of the ordinary dictionary, and filler of the same length
 after the ordinary one, so that both compress ordinary text alike and the difference comes from the toxic passages.
 
@@ -35,9 +35,9 @@ from tidemark.llm.common import crc_remainder, text_or_empty
 WINDOW, STEP, LEVEL = 64, 32, 7
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
 FIT_DOCS, FIT_CHARS, ORDINARY_WINDOWS, SEED = 9_000, 20_000, 40_000, 3
-#: Least share of toxic documents (and least number) with a distinctive 6-gram, and least log-odds against others.
-GRAM, LEAST_SHARE, LEAST_DOCS, LEAST_ODDS = 6, 0.012, 4, 2.5
-#: How far a passage reaches beyond a 6-gram to the ends of its word.
+#: Least share of toxic documents (and least number) with a distinctive 5-gram, and least log-odds against others.
+GRAM, LEAST_SHARE, LEAST_DOCS, LEAST_ODDS = 5, 0.012, 4, 2.0
+#: How far a passage reaches beyond a 5-gram to the ends of its word.
 REACH, SEGMENT = 12, 16
 THRESHOLD = 0.3
 
@@ -101,7 +101,7 @@ def features(text: str | None, ordinary: bytes, toxic: bytes) -> np.ndarray:
 
 
 def _grams(data: bytes) -> np.ndarray:
-    """Every 6-gram as a number."""
+    """Every 5-gram as a number."""
     raw = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
     n = len(raw) - GRAM + 1
     if n <= 0:
@@ -113,7 +113,7 @@ def _grams(data: bytes) -> np.ndarray:
 
 
 def _contexts(grams: np.ndarray) -> np.ndarray:
-    """A hash of what stands before and after every 6-gram."""
+    """A hash of what stands before and after every 5-gram."""
     around = np.zeros(len(grams), dtype=np.uint64)
     around[GRAM:] = grams[:-GRAM] * np.uint64(0x9E3779B97F4A7C15)
     around[:-GRAM] += grams[GRAM:] * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -127,7 +127,7 @@ def _distinct_by_gram(grams: np.ndarray, other: np.ndarray) -> tuple[np.ndarray,
 
 
 def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """Sorted 6-grams that mark toxic documents."""
+    """Sorted 5-grams that mark toxic documents."""
     by_doc = [_grams(d) for d in toxic]
     if not any(len(g) for g in by_doc):
         return np.zeros(0, dtype=np.uint64)
@@ -150,7 +150,7 @@ def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
 
 
 def passages(data: bytes, marks: np.ndarray) -> list[bytes]:
-    """The words of a text that hold distinctive 6-grams, neighbours joined."""
+    """The words of a text that hold distinctive 5-grams, neighbours joined."""
     if not len(marks):
         return []
     grams = _grams(data)
