@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, language, licenses, near_dedup, packing, quality, toxicity
+from tidemark.llm import bpe, exact_dedup, html, language, licenses, near_dedup, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_cutting_stock_packing": packing.query,
         "op5_license_scan": licenses.query,
         "op7_bag_minhash_near_dedup": near_dedup.query,
+        "op8_recurrent_html_extraction": html.query,
         "op9_segmentation_language_id": language.query,
         "op10_isolation_forest_quality": quality.query,
         "op6_streaming_exact_dedup": exact_dedup.query,
