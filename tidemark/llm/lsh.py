@@ -12,14 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 from tidemark.llm.graph import components
 
-#: Given a table of (node), the (node, digest, keys array<long>) of those items; keys are an item's distinct elements.
-FetchKeys = Callable[[DataFrame], DataFrame]
+#: Given a table of (node), the (node, digest, item) of those nodes, item being what is compared.
+Fetch = Callable[[DataFrame], DataFrame]
+#: Whether two items are similar, as a boolean column of their columns.
+Similar = Callable[[Column, Column], Column]
 
 
 def buckets(banded: DataFrame) -> DataFrame:
@@ -29,40 +31,50 @@ def buckets(banded: DataFrame) -> DataFrame:
     return rows.join(shared.select("band", "hub"), "band").select("band", "node", "n", "hub").distinct()
 
 
-def verified(pairs: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b, digest_a, digest_b) among pairs (x, y) whose Jaccard similarity of keys reaches the threshold."""
-    left = keys.select(F.col("node").alias("x"), F.col("digest").alias("digest_a"), F.col("keys").alias("left_keys"))
-    right = keys.select(F.col("node").alias("y"), F.col("digest").alias("digest_b"), F.col("keys").alias("right_keys"))
-    both = F.size(F.array_intersect("left_keys", "right_keys"))
-    either = F.size("left_keys") + F.size("right_keys") - both
+def overlap(threshold: float) -> Similar:
+    """Jaccard similarity of arrays of distinct keys reaches the threshold."""
+
+    def test(left: Column, right: Column) -> Column:
+        both = F.size(F.array_intersect(left, right))
+        return both >= F.lit(threshold) * (F.size(left) + F.size(right) - both)
+
+    return test
+
+
+def verified(pairs: DataFrame, items: DataFrame, alike: Similar) -> DataFrame:
+    """Links (a, b, digest_a, digest_b) among pairs (x, y) whose items are similar."""
+    left = items.select(F.col("node").alias("x"), F.col("digest").alias("digest_a"), F.col("item").alias("left_item"))
+    right = items.select(F.col("node").alias("y"), F.col("digest").alias("digest_b"), F.col("item").alias("right_item"))
     return (
         pairs.join(right, "y")
         .join(left, "x")
-        .filter(both >= F.lit(threshold) * either)
+        .withColumn("alike", alike(F.col("left_item"), F.col("right_item")))
+        .filter("alike")
         .select(F.col("x").alias("a"), F.col("y").alias("b"), "digest_a", "digest_b")
     )
 
 
-def similar(n: str, m: str, threshold: float):
+def sizes_allow(n: str, m: str, threshold: float) -> Column:
     """Whether sets of these sizes can reach the similarity at all."""
     return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (F.least(n, m) > 0)
 
 
-def link(banded: DataFrame, fetch: FetchKeys, threshold: float) -> DataFrame:
-    """(digest, root) for every digest that is linked to another; root is the least digest of its component."""
+def link(banded: DataFrame, fetch: Fetch, alike: Similar, threshold: float) -> DataFrame:
+    """(digest, root) for every digest that is linked to another; root is the least digest of its component. n in
+    (node, n, bands) is the size of an item, or 1 for all where sizes do not bound the similarity."""
     held = written(buckets(banded), "buckets")
-    keys = written(fetch(held.select("node").distinct()), "keys")
+    items = written(fetch(held.select("node").distinct()), "items")
     sizes = held.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
     first = (
         held.filter("node != hub")
         .select("hub", "node", "n")
         .distinct()
         .join(sizes, "hub")
-        .filter(similar("n", "hub_n", threshold))
+        .filter(sizes_allow("n", "hub_n", threshold))
         .select(F.col("hub").alias("x"), F.col("node").alias("y"))
     )
     first = written(first, "pairs")
-    links = written(verified(first, keys, threshold), "links")
+    links = written(verified(first, items, alike), "links")
     joined = held.join(components(links.select("a", "b")), "node", "left").select(
         "band", "node", "n", F.coalesce("root", "node").alias("root")
     )
@@ -71,11 +83,11 @@ def link(banded: DataFrame, fetch: FetchKeys, threshold: float) -> DataFrame:
     across = (
         rest.select("band", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
         .join(rest.select("band", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr")), "band")
-        .filter((F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr")) & similar("xn", "yn", threshold))
+        .filter((F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr")) & sizes_allow("xn", "yn", threshold))
         .select("x", "y")
         .distinct()
         .join(first, ["x", "y"], "left_anti")
     )
-    more = verified(written(across, "across"), keys, threshold)
+    more = verified(written(across, "across"), items, alike)
     edges = links.union(more).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
     return components(edges).withColumnRenamed("node", "digest")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_or_empty, written
-from tidemark.llm.lsh import link
+from tidemark.llm.lsh import link, overlap
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 24 bands of 4 registers find a pair of similarity 0.8 but for 3 in a million.
@@ -187,7 +187,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", bands:
 
 
 def keys(rows: DataFrame) -> DataFrame:
-    """(node, digest, keys) of (node, digest, body)."""
+    """(node, digest, item) of (node, digest, body); the item is the multiset's distinct keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
@@ -195,9 +195,9 @@ def keys(rows: DataFrame) -> DataFrame:
             for at in range(0, len(b), CHUNK):
                 part = b.iloc[at : at + CHUNK]
                 found = [multiset_keys(shingles(t, hashes)).view(np.int64) for t in part["body"]]
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "digest": part["digest"].to_numpy(), "keys": found})
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "digest": part["digest"].to_numpy(), "item": found})
 
-    return rows.select("node", "digest", "body").mapInPandas(run, "node long, digest binary, keys array<long>")
+    return rows.select("node", "digest", "body").mapInPandas(run, "node long, digest binary, item array<long>")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,7 +215,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
         chosen = distinct.join(wanted, "node").select("id", "digest")
         return keys(texts.join(chosen, ["id", "digest"])).dropDuplicates(["digest"])
 
-    linked = link(distinct.select("node", "n", "bands"), fetch, threshold)
+    linked = link(distinct.select("node", "n", "bands"), fetch, overlap(threshold), threshold)
     rooted = distinct.join(linked, "digest", "left").select("digest", "id", "copies", F.coalesce("root", "digest").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     of_digest = rooted.select("digest", "root").join(groups, "root").select("digest", "class_id", "class_size")

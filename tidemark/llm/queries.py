@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, html, language, licenses, near_dedup, packing, quality, toxicity
+from tidemark.llm import bpe, exact_dedup, html, language, licenses, line_dedup, near_dedup, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_line_dedup": line_dedup.query,
         "op2_byte_bpe": bpe.query,
         "op3_compression_toxicity": toxicity.query,
         "op4_cutting_stock_packing": packing.query,
