@@ -117,7 +117,7 @@ def resolve(
         F.col("id").alias(key),
         "keep_id",
         F.col("n").alias("group_size"),
-        (F.col("id") == F.col("keep_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 

@@ -234,7 +234,7 @@ def without_repeats(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     rebuilt: Column = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     )
-    joined = docs.join(gone, (F.col(key) == F.col("__id")) & (F.xxhash64(text) == F.col("__of")), "left")
+    joined = docs.join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__of")), "left")
     return joined.select(*[(rebuilt.alias(text) if c == text else F.col(f"`{c}`")) for c in docs.columns])
 
 

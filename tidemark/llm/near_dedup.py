@@ -220,7 +220,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
     groups = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     of_digest = rooted.select("digest", "root").join(groups, "root").select("digest", "class_id", "class_size")
     return signed.select("id", "digest").join(of_digest, "digest").select(
-        F.col("id").alias(key), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept")
+        F.col("id").alias(key), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
     )
 
 
