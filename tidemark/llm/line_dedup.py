@@ -127,12 +127,12 @@ def line_bands(lines: list[str], nodes: np.ndarray, bands: int = BANDS, rows: in
 
 
 def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, n, bands) of lines; lines that repeat within a batch stand once."""
+    """(node, bands) of lines; lines that repeat within a batch stand once."""
 
     def emit(lines: dict[int, str]) -> pa.RecordBatch:
         nodes, found = line_bands(list(lines.values()), np.array(list(lines), dtype=np.int64), bands, rows)
         lists = pa.ListArray.from_arrays(np.arange(len(nodes) + 1, dtype=np.int32) * bands, pa.array(found.reshape(-1)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.ones(len(nodes), np.int64)), lists], ["node", "n", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes), lists], ["node", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,7 +153,7 @@ def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
             if waiting:
                 yield emit(waiting)
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "node long, n long, bands array<long>")
+    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "node long, bands array<long>")
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_line: bool = False) -> DataFrame:
@@ -187,6 +187,16 @@ def alike(threshold: float):
     return lambda a, b: test(a, b)
 
 
+def elements():
+    """The hashes of a line's different shingles."""
+
+    @F.pandas_udf("array<long>")
+    def of(lines: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes([x.lower()])[0]).view(np.int64) for x in lines])
+
+    return lambda item: of(item)
+
+
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(digest, rep, class_size) of every distinct line with a word: the place of the line that stays for it."""
     distinct = written(
@@ -197,7 +207,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_
         found = lines(docs, key, text, with_line=True).select("node", "digest", F.col("line").alias("item"))
         return found.join(wanted, "node").dropDuplicates(["digest"])
 
-    linked = link(banded(docs, text), fetch, alike(threshold), threshold)
+    linked = link(banded(docs, text), fetch, alike(threshold), elements(), threshold)
     # Only linked lines are grouped further; all others stand for themselves.
     in_class = linked.join(distinct, "digest").select("digest", "root", "first", "n")
     groups = in_class.groupBy("root").agg(F.min("first").alias("rep"), F.sum("n").alias("class_size"))

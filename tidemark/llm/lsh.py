@@ -1,11 +1,18 @@
 """Linking of similar items from banded signatures: candidates, exact verification, components.
 
 Items are distinct texts, each with a 64-bit node and a 128-bit digest (the node may, at very large scale, stand for two
-texts; links are between digests). Within a bucket (items that share a band) every item is compared with the least one,
-not with every other: the number of candidates is linear in the size of a bucket. What that may miss is a link between
-two items neither of which is similar to the least one; so once these links have made components, buckets that still
-hold items of several components are taken up again, and exactly the untested pairs across components whose sizes allow
-the similarity are verified. Pairs inside a component are never needed.
+texts; links are between digests).
+
+First, within a bucket (items that share a band) every item is compared with the most central one, the item that shares
+most bands with others, and not with every other: the candidates are linear in the size of a bucket. This joins nearly
+all that belongs together.
+
+What it may miss is a link between two items neither of which is similar to the central one. So buckets that still hold
+items of several components are taken up again, exactly. Their items' elements are put in order of rarity; two items
+that are similar enough share one of their rarest elements (the prefix of a length that the threshold fixes). Pairs that
+meet there, of different components, are held against a bound on their overlap from the bits of a parity bitmap, which
+never rejects a similar pair, before they are made at all; those left are verified. Pairs inside a component are never
+needed.
 """
 
 from __future__ import annotations
@@ -22,13 +29,33 @@ from tidemark.llm.graph import components
 Fetch = Callable[[DataFrame], DataFrame]
 #: Whether two items are similar, as a boolean column of their columns.
 Similar = Callable[[Column, Column], Column]
+#: The array of an item's distinct elements (64-bit hashes).
+Elements = Callable[[Column], Column]
+
+#: 64-bit words of the parity bitmap.
+WORDS = 16
 
 
 def buckets(banded: DataFrame) -> DataFrame:
-    """(band, node, n, hub) of all buckets with several nodes, from (node, n, bands array<long>)."""
-    rows = banded.select("node", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last")
-    return rows.join(shared.select("band", "hub"), "band").select("band", "node", "n", "hub").distinct()
+    """(band, node, size) of all buckets with several nodes, from (node, bands array<long>)."""
+    rows = banded.select("node", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(
+        F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high")
+    )
+    return rows.join(shared.filter("low != high").select("band", "size"), "band").distinct()
+
+
+def central_pairs(held: DataFrame) -> DataFrame:
+    """(x, y): each node of a bucket with the bucket's most central one."""
+    central = held.groupBy("node").agg(F.sum("size").alias("score"))
+    scored = held.join(central, "node")
+    hubs = scored.groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub"))
+    return (
+        held.join(hubs, "band")
+        .select(F.col("hub.node").alias("x"), F.col("node").alias("y"))
+        .filter("x != y")
+        .distinct()
+    )
 
 
 def overlap(threshold: float) -> Similar:
@@ -54,40 +81,60 @@ def verified(pairs: DataFrame, items: DataFrame, alike: Similar) -> DataFrame:
     )
 
 
-def sizes_allow(n: str, m: str, threshold: float) -> Column:
-    """Whether sets of these sizes can reach the similarity at all."""
-    return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (F.least(n, m) > 0)
+def prefixes(items: DataFrame, elements: Elements, threshold: float) -> DataFrame:
+    """(node, root, n, key, w0, w1, ...): the rarest elements of each item, as many as the threshold asks for, of those
+    that any other item has; with the item's number of elements and parity bitmap."""
+    keyed = items.select("node", "root", F.explode(elements(F.col("item"))).alias("key"))
+    common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    word = F.expr(f"cast(shiftrightunsigned(key, 6) & {WORDS - 1} as int)")
+    gathered = (
+        keyed.join(common, "key", "left")
+        .groupBy("node", "root")
+        .agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key"))).alias("ordered"),
+            *[F.coalesce(F.bit_xor(F.when(word == w, bit)), F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)],
+        )
+    )
+    n = F.size("ordered")
+    length = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
+    bits = [f"w{w}" for w in range(WORDS)]
+    return (
+        gathered.select("node", "root", n.alias("n"), F.explode(F.slice("ordered", F.lit(1), length)).alias("at"), *bits)
+        .filter("at.df > 1")
+        .select("node", "root", "n", F.col("at.key").alias("key"), *bits)
+    )
+
+
+def across(rare: DataFrame, threshold: float) -> DataFrame:
+    """(x, y): pairs of different components that share a rare element and may reach the threshold."""
+    names = ["node", "root", "n", *[f"w{w}" for w in range(WORDS)]]
+    left = rare.select("key", *[F.col(c).alias(f"x_{c}") for c in names])
+    right = rare.select("key", *[F.col(c).alias(f"y_{c}") for c in names])
+    apart = sum((F.bit_count(F.col(f"x_w{w}").bitwiseXOR(F.col(f"y_w{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))))
+    total = F.col("x_n") + F.col("y_n")
+    may = (
+        (F.col("x_node") < F.col("y_node"))
+        & (F.col("x_root") != F.col("y_root"))
+        & (F.least("x_n", "y_n") >= F.lit(threshold - 1e-9) * F.greatest("x_n", "y_n"))
+        # Elements that only one of the two has number as many as differing bits, at least.
+        & (apart <= total * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    )
+    return left.join(right, (left.key == right.key) & may).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
 
 
-def link(banded: DataFrame, fetch: Fetch, alike: Similar, threshold: float) -> DataFrame:
-    """(digest, root) for every digest that is linked to another; root is the least digest of its component. n in
-    (node, n, bands) is the size of an item, or 1 for all where sizes do not bound the similarity."""
+def link(banded: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float) -> DataFrame:
+    """(digest, root) for every digest that is linked to another; root is the least digest of its component."""
     held = written(buckets(banded), "buckets")
     items = written(fetch(held.select("node").distinct()), "items")
-    sizes = held.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
-    first = (
-        held.filter("node != hub")
-        .select("hub", "node", "n")
-        .distinct()
-        .join(sizes, "hub")
-        .filter(sizes_allow("n", "hub_n", threshold))
-        .select(F.col("hub").alias("x"), F.col("node").alias("y"))
-    )
-    first = written(first, "pairs")
+    first = written(central_pairs(held), "pairs")
     links = written(verified(first, items, alike), "links")
     joined = held.join(components(links.select("a", "b")), "node", "left").select(
-        "band", "node", "n", F.coalesce("root", "node").alias("root")
+        "band", "node", F.coalesce("root", "node").alias("root")
     )
     open_bands = joined.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    rest = written(joined.join(open_bands.select("band"), "band"), "open")
-    across = (
-        rest.select("band", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
-        .join(rest.select("band", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr")), "band")
-        .filter((F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr")) & sizes_allow("xn", "yn", threshold))
-        .select("x", "y")
-        .distinct()
-        .join(first, ["x", "y"], "left_anti")
-    )
-    more = verified(written(across, "across"), items, alike)
-    edges = links.union(more).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
+    open_nodes = joined.join(open_bands.select("band"), "band").select("node", "root").distinct()
+    rare = written(prefixes(items.join(open_nodes, "node"), elements, threshold), "rare")
+    rest = written(across(rare, threshold).join(first, ["x", "y"], "left_anti"), "across")
+    edges = links.union(verified(rest, items, alike)).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
     return components(edges).withColumnRenamed("node", "digest")

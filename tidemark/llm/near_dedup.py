@@ -204,7 +204,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
     """(key, class_id, class_size, kept) of every document; class_id is the least identifier of the class."""
     signed = written(signatures(docs, key, text), "signatures")
     distinct = signed.groupBy("digest").agg(
-        F.min("id").alias("id"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.min("id").alias("id"), F.first("node").alias("node"), F.first("bands").alias("bands"),
         F.count(F.lit(1)).alias("copies"),
     )
     distinct = written(distinct, "distinct")
@@ -215,7 +215,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
         chosen = distinct.join(wanted, "node").select("id", "digest")
         return keys(texts.join(chosen, ["id", "digest"])).dropDuplicates(["digest"])
 
-    linked = link(distinct.select("node", "n", "bands"), fetch, overlap(threshold), threshold)
+    linked = link(distinct.select("node", "bands"), fetch, overlap(threshold), lambda item: item, threshold)
     rooted = distinct.join(linked, "digest", "left").select("digest", "id", "copies", F.coalesce("root", "digest").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     of_digest = rooted.select("digest", "root").join(groups, "root").select("digest", "class_id", "class_size")
