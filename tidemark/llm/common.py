@@ -34,6 +34,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast (some 32 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has been counted to hold few rows; beyond that as it is, for a shuffled join. For
+    written tables of a few numbers a row."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Remove a scratch path that nothing reads any more."""
     jvm = spark.sparkContext._jvm

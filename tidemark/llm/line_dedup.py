@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash.
 
-A line is the set of its five-character shingles, in lower case. Identical lines are made one by digest. The others get
+A line is the set of its seven-character shingles, in lower case. Identical lines are made one by digest. The others get
 MinHash signatures: long lines by one permutation, whose shingles are dealt over the registers, empty registers
 borrowing from others; short lines, where most registers would be empty, by a function for each register. Lines between
 the two kinds get both. Bands of the signatures give candidates, their exact Jaccard similarity is computed from the
@@ -8,7 +8,7 @@ lines, and linked lines form components by distributed star contraction. One lin
 document and number of the line, in the whole corpus.
 
 Lines are what a split at \\n gives; lines of white space only are neither compared nor dropped. Lines of fewer than
-five characters are dropped only as exact copies. Defined results: null texts have no lines and stay null; a document
+seven characters are dropped only as exact copies. Defined results: null texts have no lines and stay null; a document
 that loses every line keeps an empty text; rows that repeat both identifier and text are one document and get the same
 result; an empty table gives an empty table; further columns pass through, whatever their names; lines of any length are
 read whole.
@@ -26,18 +26,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import small_side, written
 from tidemark.llm.lsh import link
 from tidemark.llm.near_dedup import mix
 
-SHINGLE, THRESHOLD = 5, 0.8
-#: 12 bands of 5 registers find a pair of similarity 0.8 with a probability of 0.99, one of 0.85 with 0.999.
-BANDS, ROWS = 12, 5
+SHINGLE, THRESHOLD = 7, 0.8
+#: 10 bands of 4 registers find a pair of similarity 0.8 with a probability of 0.995, one of 0.85 with 0.9994.
+BANDS, ROWS = 10, 4
 #: Lines of fewer shingles get a function for each register, those of as many or more one permutation, and those between
 #: the two both kinds: similar lines differ in shingles by a fifth at most.
 FULL_BELOW, SPARSE_FROM = 100, 80
-#: Characters that are hashed together.
-CHUNK = 1 << 20
+#: Characters that are hashed together; lines a task remembers.
+CHUNK, SEEN = 1 << 18, 500_000
 _BASE = np.uint64(0x100000001B3)
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -127,7 +127,7 @@ def line_bands(lines: list[str], nodes: np.ndarray, bands: int = BANDS, rows: in
 
 
 def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, bands) of lines; lines that repeat within a batch stand once."""
+    """(node, bands) of lines; lines that repeat in a task mostly stand once."""
 
     def emit(lines: dict[int, str]) -> pa.RecordBatch:
         nodes, found = line_bands(list(lines.values()), np.array(list(lines), dtype=np.int64), bands, rows)
@@ -135,16 +135,18 @@ def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
         return pa.RecordBatch.from_arrays([pa.array(nodes), lists], ["node", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        waiting: dict[int, str] = {}
+        chars = 0
         for b in batches:
-            waiting: dict[int, str] = {}
-            chars = 0
             for t in b.column(0):
                 for line in (t.as_py() or "").split("\n"):
                     if len(line) < SHINGLE or not line.strip(_BLANK):
                         continue
                     node = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
                     node -= (node >> 63) << 64
-                    if node not in waiting:
+                    if node not in seen:
+                        seen.add(node)
                         waiting[node] = line.lower()
                         chars += len(line)
                 if chars >= CHUNK:
@@ -152,6 +154,9 @@ def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
                     waiting, chars = {}, 0
             if waiting:
                 yield emit(waiting)
+                waiting, chars = {}, 0
+            if len(seen) > SEEN:
+                seen.clear()
 
     return docs.select(F.col(text).alias("__text")).mapInArrow(run, "node long, bands array<long>")
 
@@ -205,7 +210,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_
 
     def fetch(wanted: DataFrame) -> DataFrame:
         found = lines(docs, key, text, with_line=True).select("node", "digest", F.col("line").alias("item"))
-        return found.join(wanted, "node").dropDuplicates(["digest"])
+        return found.join(small_side(written(wanted, "wanted")), "node").dropDuplicates(["digest"])
 
     linked = link(banded(docs, text), fetch, alike(threshold), elements(), threshold)
     # Only linked lines are grouped further; all others stand for themselves.

@@ -37,17 +37,18 @@ WORDS = 16
 
 
 def buckets(banded: DataFrame) -> DataFrame:
-    """(band, node, size) of all buckets with several nodes, from (node, bands array<long>)."""
+    """(band, node) of all buckets with several nodes, from (node, bands array<long>). All but a few rows are alone in
+    their bucket, so both exchanges carry two numbers a row and nothing else."""
     rows = banded.select("node", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(
-        F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high")
-    )
-    return rows.join(shared.filter("low != high").select("band", "size"), "band").distinct()
+    least = rows.groupBy("band").agg(F.min("node").alias("low"))
+    others = written(rows.join(least, "band").filter("node != low").distinct(), "others")
+    return others.select("band", "node").union(others.select("band", F.col("low").alias("node")).distinct())
 
 
 def central_pairs(held: DataFrame) -> DataFrame:
     """(x, y): each node of a bucket with the bucket's most central one."""
-    central = held.groupBy("node").agg(F.sum("size").alias("score"))
+    sizes = held.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+    central = held.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("score"))
     scored = held.join(central, "node")
     hubs = scored.groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub"))
     return (
@@ -125,7 +126,7 @@ def across(rare: DataFrame, threshold: float) -> DataFrame:
 
 def link(banded: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float) -> DataFrame:
     """(digest, root) for every digest that is linked to another; root is the least digest of its component."""
-    held = written(buckets(banded), "buckets")
+    held = buckets(banded)
     items = written(fetch(held.select("node").distinct()), "items")
     first = written(central_pairs(held), "pairs")
     links = written(verified(first, items, alike), "links")

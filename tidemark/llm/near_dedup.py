@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_or_empty, written
+from tidemark.llm.common import small_side, text_or_empty, written
 from tidemark.llm.lsh import link, overlap
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -212,7 +212,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
 
     def fetch(wanted: DataFrame) -> DataFrame:
         """One row of each wanted text, by the identifier of its first copy."""
-        chosen = distinct.join(wanted, "node").select("id", "digest")
+        chosen = small_side(written(distinct.join(wanted, "node").select("id", "digest"), "wanted"))
         return keys(texts.join(chosen, ["id", "digest"])).dropDuplicates(["digest"])
 
     linked = link(distinct.select("node", "bands"), fetch, overlap(threshold), lambda item: item, threshold)
