@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_or_empty
+from tidemark.llm.common import bounded_batches, text_or_empty
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Recent pre-tokens kept with their ids in each Python worker, in two generations of this size (about 270 MB
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             yield pd.DataFrame({key: b[key], "ids": [c.encode(t) for t in b["__text"]]})
 
     source = docs.select(F.col(key), text_or_empty(text).alias("__text"))
-    return source.mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return bounded_batches(source).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -197,7 +197,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             yield pd.DataFrame({key: b[key], "decoded": [c.decode(() if x is None else x) for x in b["__ids"]]})
 
     source = encoded.select(F.col(key), F.col(ids).alias("__ids"))
-    return source.mapInPandas(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, decoded binary")
+    return bounded_batches(source).mapInPandas(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, decoded binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,7 +217,7 @@ def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: st
 
     source = docs.select(F.col(key), text_or_empty(text).alias("__text"))
     kind = docs.schema[key].dataType.simpleString()
-    return source.mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(source).mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker gets at a time: bytes and rows of an Arrow batch (a single longer row still comes whole).
+BATCH_CONF = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with the session set to hand texts to Python workers in batches of bounded bytes."""
+    for k, v in BATCH_CONF.items():
+        df.sparkSession.conf.set(k, v)
+    return df
+
+
 #: Rows of a few numbers that may be broadcast (some 32 MB).
 BROADCAST_ROWS = 1_000_000
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_or_empty
+from tidemark.llm.common import bounded_batches, text_or_empty
 
 FIT_PAGES, FIT_CHARS, COMPOSED_PAGES, EPOCHS, SEED = 200, 60_000, 500, 8, 5
 HIDDEN, PATH_BINS, WORD_BINS, MEASURES = 16, 160, 32, 7
@@ -471,7 +471,7 @@ def extract(pages: DataFrame, net: Network, key: str = "page_id", html: str = "h
 
     kind = pages.schema[key].dataType.simpleString()
     source = pages.select(key, url, text_or_empty(html).alias("__html"))
-    return source.mapInPandas(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long")
+    return bounded_batches(source).mapInPandas(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,15 +29,17 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_remainder, text_or_empty
+from tidemark.llm.common import bounded_batches, crc_remainder, text_or_empty
 
 VOCABULARY = "piece_bpe_32k.model"
 UNDETERMINED = "und"
 MAX_RUN, MAX_PIECE = 32, 16
 #: Documents to learn from, about; words of each language among them, at most; rounds of expectation maximisation.
 FIT_DOCS, FIT_WORDS, FIT_ROUNDS = 6000, 12_000, 4
-#: Words whose scores a Python worker keeps.
-CACHE_WORDS = 600_000
+#: Words that go through the lattices together, in fitting and in scoring.
+FIT_CHUNK, SCORE_CHUNK = 6000, 4000
+#: Words whose scores a Python worker keeps within a task.
+CACHE_WORDS = 400_000
 
 
 def read_vocabulary(path: str) -> dict[str, int]:
@@ -117,17 +119,19 @@ def _backward(lengths: np.ndarray, longest: int, edges: tuple[np.ndarray, ...],
 
 def fit_pieces(lattice: Lattice, words: list[str], counts: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndarray:
     """Piece probabilities [piece, language] from counts [word, language]."""
-    edges, n_languages = lattice.edges(words), counts.shape[1]
-    of, start, end, piece = edges
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
-    longest = int(lengths.max(initial=0))
-    p = np.full((lattice.size, n_languages), 1.0 / lattice.size)
+    parts = []
+    for at in range(0, len(words), FIT_CHUNK):
+        part = words[at : at + FIT_CHUNK]
+        parts.append((lattice.edges(part), np.array([len(w) for w in part], dtype=np.int64), counts[at : at + FIT_CHUNK]))
+    p = np.full((lattice.size, counts.shape[1]), 1.0 / lattice.size)
     for _ in range(rounds):
-        alpha, beta = forward(len(words), longest, edges, p), _backward(lengths, longest, edges, p)
-        total = np.maximum(beta[:, 0], 1e-300)
-        expected = (alpha[of, start] * p[piece] * beta[of, end]) * (counts / total)[of]
         seen = np.zeros_like(p)
-        np.add.at(seen, piece, expected)
+        for edges, lengths, n in parts:
+            of, start, end, piece = edges
+            longest = int(lengths.max())
+            alpha, beta = forward(len(n), longest, edges, p), _backward(lengths, longest, edges, p)
+            weight = n / np.maximum(beta[:, 0], 1e-300)
+            np.add.at(seen, piece, alpha[of, start] * p[piece] * beta[of, end] * weight[of])
         p = (seen + 0.02) / (seen.sum(axis=0) + 0.02 * lattice.size)
     return p
 
@@ -161,9 +165,9 @@ class Scorer:
         self.model = model
         self.lattice = Lattice(read_vocabulary(model.vocabulary))
         self.width = len(model.languages)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.known = _Numbers()
         self.scores = np.zeros((1024, self.width + 1), dtype=np.float32)
 
@@ -174,8 +178,8 @@ class Scorer:
             grown = np.zeros((max(need, 2 * len(self.scores)), self.width + 1), dtype=np.float32)
             grown[: len(self.scores)] = self.scores
             self.scores = grown
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        for at in range(0, len(words), SCORE_CHUNK):
+            part = words[at : at + SCORE_CHUNK]
             runs, of = [], []
             for k, raw in enumerate(part):
                 found = runs_of(raw)
@@ -192,7 +196,7 @@ class Scorer:
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and posterior probability of each text."""
         if len(self.known) > CACHE_WORDS:
-            self._clear()
+            self.clear()
         known, before = self.known, len(self.known)
         numbers = [np.fromiter(map(known.__getitem__, (t or "").split()), dtype=np.int64) for t in texts]
         if len(known.new):
@@ -287,10 +291,11 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
         for b in batches:
             names, values = scorer.score(b["__text"].tolist())
             yield pd.DataFrame({key: b[key], "lang_pred": names, "score": values})
+        scorer.clear()  # workers live on and run other operators
 
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key), text_or_empty(text).alias("__text"))
-    return source.mapInPandas(run, f"`{key}` {kind}, lang_pred string, score double")
+    return bounded_batches(source).mapInPandas(run, f"`{key}` {kind}, lang_pred string, score double")
 
 
 def learnable(docs: DataFrame) -> DataFrame:

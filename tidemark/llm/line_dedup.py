@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_side, written
+from tidemark.llm.common import bounded_batches, small_side, written
 from tidemark.llm.lsh import link
 from tidemark.llm.near_dedup import mix
 
@@ -158,7 +158,7 @@ def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
             if len(seen) > SEEN:
                 seen.clear()
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "node long, bands array<long>")
+    return bounded_batches(docs.select(F.col(text).alias("__text"))).mapInArrow(run, "node long, bands array<long>")
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_line: bool = False) -> DataFrame:
@@ -171,7 +171,7 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_line: b
     return rows.select(*columns, *(["line"] if with_line else []))
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=4)
 def _shingle_set(line: str) -> frozenset[str]:
     line = line.lower()
     return frozenset(line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1))

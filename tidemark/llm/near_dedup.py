@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_side, text_or_empty, written
+from tidemark.llm.common import bounded_batches, small_side, text_or_empty, written
 from tidemark.llm.lsh import link, overlap
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -183,7 +183,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", bands:
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return _keyed(docs, key, text).mapInPandas(run, f"id {kind}, node long, digest binary, n long, bands array<long>")
+    return bounded_batches(_keyed(docs, key, text)).mapInPandas(run, f"id {kind}, node long, digest binary, n long, bands array<long>")
 
 
 def keys(rows: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def keys(rows: DataFrame) -> DataFrame:
                 found = [multiset_keys(shingles(t, hashes)).view(np.int64) for t in part["body"]]
                 yield pd.DataFrame({"node": part["node"].to_numpy(), "digest": part["digest"].to_numpy(), "item": found})
 
-    return rows.select("node", "digest", "body").mapInPandas(run, "node long, digest binary, item array<long>")
+    return bounded_batches(rows.select("node", "digest", "body")).mapInPandas(run, "node long, digest binary, item array<long>")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:

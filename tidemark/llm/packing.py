@@ -22,7 +22,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.bpe import Codec, read_ranks
-from tidemark.llm.common import parallelism, text_or_empty, written
+from tidemark.llm.common import bounded_batches, parallelism, text_or_empty, written
 
 SEQUENCE_LENGTH, GRAIN, END_ID = 2048, 8, 1
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -50,14 +50,19 @@ class Ids:
     which both give the same ids, and the tokenizer file itself for all others."""
 
     def __init__(self, tokenizer: str, ranks: str) -> None:
-        self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.tokenizer.encode_special_tokens = True
+        self.file = tokenizer
         self.fast = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks), special_tokens={}
         )
         self.queue: Codec | None = None
         self.ranks = ranks
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        out = Tokenizer.from_file(self.file)
+        out.encode_special_tokens = True
+        return out
+
     def packed(self, text: str) -> bytes:
         if _UNUSUAL.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -97,7 +102,7 @@ def pieces(
 
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key), text_or_empty(text).alias("__text"))
-    return source.mapInPandas(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return bounded_batches(source).mapInPandas(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
 def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

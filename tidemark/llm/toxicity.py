@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_remainder, text_or_empty
+from tidemark.llm.common import bounded_batches, crc_remainder, text_or_empty
 
 WINDOW, STEP, LEVEL = 64, 32, 7
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key), text_or_empty(text).alias("__text"))
-    return source.mapInPandas(run, f"`{key}` {kind}, score double")
+    return bounded_batches(source).mapInPandas(run, f"`{key}` {kind}, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
