@@ -161,14 +161,15 @@ def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
     return bounded_batches(docs.select(F.col(text).alias("__text"))).mapInArrow(run, "node long, bands array<long>")
 
 
-def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", with_line: bool = False) -> DataFrame:
-    """(at, node, digest[, line]) of every line with a word; at is (id, text hash, line number from 0)."""
-    rows = docs.select(
+def _split(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(
         F.col(key).alias("id"), F.xxhash64(text).alias("of"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
     ).filter(F.col("line").rlike(r"[^ \t-\r]"))
-    at = F.struct("id", "of", "line_no").alias("at")
-    columns = [at, F.xxhash64("line").alias("node"), F.unhex(F.md5("line")).alias("digest")]
-    return rows.select(*columns, *(["line"] if with_line else []))
+
+
+def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(at, digest) of every line with a word; at is (id, text hash, line number from 0)."""
+    return _split(docs, key, text).select(F.struct("id", "of", "line_no").alias("at"), F.unhex(F.md5("line")).alias("digest"))
 
 
 @lru_cache(maxsize=4)
@@ -209,10 +210,11 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_
     )
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        found = lines(docs, key, text, with_line=True).select("node", "digest", F.col("line").alias("item"))
-        return found.join(small_side(written(wanted, "wanted")), "node").dropDuplicates(["digest"])
+        found = _split(docs, key, text).select(F.xxhash64("line").alias("node"), F.col("line").alias("item"))
+        found = found.join(small_side(written(wanted, "wanted")), "node")
+        return found.select("node", F.unhex(F.md5("item")).alias("digest"), "item").dropDuplicates(["digest"])
 
-    linked = link(banded(docs, text), fetch, alike(threshold), elements(), threshold)
+    linked = link(written(banded(docs, text), "banded"), fetch, alike(threshold), elements(), threshold)
     # Only linked lines are grouped further; all others stand for themselves.
     in_class = linked.join(distinct, "digest").select("digest", "root", "first", "n")
     groups = in_class.groupBy("root").agg(F.min("first").alias("rep"), F.sum("n").alias("class_size"))
@@ -230,7 +232,6 @@ def judged_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_
     classes = line_classes(docs, threshold, key, text)
     return (
         lines(docs, key, text)
-        .select("at", "digest")
         .join(classes, "digest")
         .select("at", "rep", "class_size", (F.col("at") == F.col("rep")).alias("kept"))
     )

@@ -8,7 +8,8 @@ most bands with others, and not with every other: the candidates are linear in t
 all that belongs together.
 
 What it may miss is a link between two items neither of which is similar to the central one. So buckets that still hold
-items of several components are taken up again, exactly. Their items' elements are put in order of rarity; two items
+items of several components are taken up again, exactly. In a bucket of a few items all pairs across components are
+verified. For larger ones, the items' elements are put in order of rarity; two items
 that are similar enough share one of their rarest elements (the prefix of a length that the threshold fixes). Pairs that
 meet there, of different components, are held against a bound on their overlap from the bits of a parity bitmap, which
 never rejects a similar pair, before they are made at all; those left are verified. Pairs inside a component are never
@@ -32,8 +33,8 @@ Similar = Callable[[Column, Column], Column]
 #: The array of an item's distinct elements (64-bit hashes).
 Elements = Callable[[Column], Column]
 
-#: 64-bit words of the parity bitmap.
-WORDS = 16
+#: 64-bit words of the parity bitmap; items of a bucket that is small.
+WORDS, FEW = 16, 12
 
 
 def buckets(banded: DataFrame) -> DataFrame:
@@ -124,6 +125,13 @@ def across(rare: DataFrame, threshold: float) -> DataFrame:
     return left.join(right, (left.key == right.key) & may).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
 
 
+def within_few(rest: DataFrame) -> DataFrame:
+    """(x, y): pairs of different components in the buckets (band, node, root) of a few items."""
+    left = rest.select("band", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    right = rest.select("band", F.col("node").alias("y"), F.col("root").alias("y_root"))
+    return left.join(right, "band").filter("x < y AND x_root != y_root").select("x", "y").distinct()
+
+
 def link(banded: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float) -> DataFrame:
     """(digest, root) for every digest that is linked to another; root is the least digest of its component."""
     held = buckets(banded)
@@ -133,9 +141,11 @@ def link(banded: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, th
     joined = held.join(components(links.select("a", "b")), "node", "left").select(
         "band", "node", F.coalesce("root", "node").alias("root")
     )
-    open_bands = joined.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    open_nodes = joined.join(open_bands.select("band"), "band").select("node", "root").distinct()
-    rare = written(prefixes(items.join(open_nodes, "node"), elements, threshold), "rare")
-    rest = written(across(rare, threshold).join(first, ["x", "y"], "left_anti"), "across")
-    edges = links.union(verified(rest, items, alike)).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
+    sizes = joined.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    rest = written(joined.join(sizes.filter("low != high").select("band", "size"), "band"), "open")
+    crowded = rest.filter(F.col("size") > FEW).select("node", "root").distinct()
+    rare = written(prefixes(items.join(crowded, "node"), elements, threshold), "rare")
+    pairs = across(rare, threshold).union(within_few(rest.filter(F.col("size") <= FEW))).distinct()
+    more = verified(written(pairs.join(first, ["x", "y"], "left_anti"), "across"), items, alike)
+    edges = links.union(more).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
     return components(edges).withColumnRenamed("node", "digest")
