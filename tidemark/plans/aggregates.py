@@ -230,14 +230,14 @@ def window_offsets(spark, d):
     "window_frames",
     """SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, round(avg(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 3) AS moving,
     max(o_totalprice) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead, CAST(count(*) OVER (PARTITION BY o_custkey) AS BIGINT) AS n,
-    round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 1) AS off_mean FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+    round(CAST(count(*) OVER (PARTITION BY o_custkey) AS DOUBLE) * o_totalprice, 2) AS off_mean FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
 )
 def window_frames(spark, d):
     t, w = _orders(spark, d)
     whole, p = Window.partitionBy("o_custkey"), F.col("o_totalprice")
     return t.select(
         "o_orderkey", _r(F.sum(p).over(w), "running", 2), _r(F.avg(p).over(w.rowsBetween(-2, 0)), "moving", 3),
-        F.max(p).over(w.rowsBetween(1, 3)).alias("ahead"), F.count(F.lit(1)).over(whole).alias("n"), _r(p - F.avg(p).over(whole), "off_mean", 1),
+        F.max(p).over(w.rowsBetween(1, 3)).alias("ahead"), F.count(F.lit(1)).over(whole).alias("n"), _r(F.count(F.lit(1)).over(whole) * p, "off_mean", 2),
     )
 
 

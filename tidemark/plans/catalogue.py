@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("relational", "aggregates")
+MODULES: tuple[str, ...] = ("relational", "aggregates", "scalars")
 
 
 def load() -> None:
