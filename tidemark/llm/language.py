@@ -38,7 +38,7 @@ MAX_RUN, MAX_PIECE = 32, 16
 FIT_DOCS, FIT_WORDS, FIT_ROUNDS = 6000, 12_000, 4
 #: Words that go through the lattices together, in fitting and in scoring.
 FIT_CHUNK, SCORE_CHUNK = 6000, 4000
-#: Words whose scores a Python worker keeps within a task.
+#: Words whose scores a Python worker keeps (some 100 MB).
 CACHE_WORDS = 400_000
 
 
@@ -195,6 +195,8 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and posterior probability of each text."""
+        if not self.width:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if len(self.known) > CACHE_WORDS:
             self.clear()
         known, before = self.known, len(self.known)
@@ -206,7 +208,7 @@ class Scorer:
         prior = np.log(np.maximum(self.model.prior, 1e-12))
         for ids in numbers:
             total = self.scores[ids].sum(axis=0, dtype=np.float64) if len(ids) else np.zeros(self.width + 1)
-            if not total[-1] or not self.width:
+            if not total[-1]:
                 names.append(UNDETERMINED)
                 values.append(0.0)
                 continue
@@ -291,7 +293,6 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
         for b in batches:
             names, values = scorer.score(b["__text"].tolist())
             yield pd.DataFrame({key: b[key], "lang_pred": names, "score": values})
-        scorer.clear()  # workers live on and run other operators
 
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key), text_or_empty(text).alias("__text"))
