@@ -84,8 +84,9 @@ def verified(pairs: DataFrame, items: DataFrame, alike: Similar) -> DataFrame:
 
 
 def prefixes(items: DataFrame, elements: Elements, threshold: float) -> DataFrame:
-    """(node, root, n, key, w0, w1, ...): the rarest elements of each item, as many as the threshold asks for, of those
-    that any other item has; with the item's number of elements and parity bitmap."""
+    """(node, root, n, rare, key, w0, w1, ...): a row for each of the rarest elements of an item, as many as the threshold
+    asks for, of those that any other item has; with the item's number of elements, all its rare ones in order of rarity,
+    and its parity bitmap."""
     keyed = items.select("node", "root", F.explode(elements(F.col("item"))).alias("key"))
     common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
@@ -101,16 +102,14 @@ def prefixes(items: DataFrame, elements: Elements, threshold: float) -> DataFram
     n = F.size("ordered")
     length = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
     bits = [f"w{w}" for w in range(WORDS)]
-    return (
-        gathered.select("node", "root", n.alias("n"), F.explode(F.slice("ordered", F.lit(1), length)).alias("at"), *bits)
-        .filter("at.df > 1")
-        .select("node", "root", "n", F.col("at.key").alias("key"), *bits)
-    )
+    shared = F.filter(F.slice("ordered", F.lit(1), length), lambda e: e["df"] > 1)
+    rare = F.transform(shared, lambda e: e["key"])
+    return gathered.select("node", "root", n.alias("n"), rare.alias("rare"), *bits).select("*", F.explode("rare").alias("key"))
 
 
 def across(rare: DataFrame, threshold: float) -> DataFrame:
     """(x, y): pairs of different components that share a rare element and may reach the threshold."""
-    names = ["node", "root", "n", *[f"w{w}" for w in range(WORDS)]]
+    names = ["node", "root", "n", "rare", *[f"w{w}" for w in range(WORDS)]]
     left = rare.select("key", *[F.col(c).alias(f"x_{c}") for c in names])
     right = rare.select("key", *[F.col(c).alias(f"y_{c}") for c in names])
     apart = sum((F.bit_count(F.col(f"x_w{w}").bitwiseXOR(F.col(f"y_w{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))))
@@ -121,6 +120,8 @@ def across(rare: DataFrame, threshold: float) -> DataFrame:
         & (F.least("x_n", "y_n") >= F.lit(threshold - 1e-9) * F.greatest("x_n", "y_n"))
         # Elements that only one of the two has number as many as differing bits, at least.
         & (apart <= total * ((1 - threshold) / (1 + threshold)) + 1e-6)
+        # A pair that shares several rare elements is made at the first.
+        & (F.get(F.array_intersect("x_rare", "y_rare"), 0) == left.key)
     )
     return left.join(right, (left.key == right.key) & may).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
 
