@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    made = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -27,13 +31,23 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read again: it cuts the lineage and survives lost executors."""
+    """df written once as Parquet to the shared folder and read again: it cuts the lineage and survives lost executors.
+    The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
     df.write.parquet(path)
+    _file_system(spark, path).deleteOnExit(_path(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 #: What a Python worker gets at a time: bytes and rows of an Arrow batch (a single longer row still comes whole).
 BATCH_CONF = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
@@ -60,9 +74,7 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def dropped(spark: SparkSession, path: str) -> None:
     """Remove a scratch path that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _file_system(spark, path).delete(_path(spark, path), True)
 
 
 def text_or_empty(name: str = "text") -> Column:
