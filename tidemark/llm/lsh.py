@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import small_side, written
 from tidemark.llm.graph import components
 
 #: Given a table of (node), the (node, digest, item) of those nodes, item being what is compared.
@@ -39,11 +39,11 @@ WORDS, FEW = 16, 12
 
 def buckets(banded: DataFrame) -> DataFrame:
     """(band, node) of all buckets with several nodes, from (node, bands array<long>). All but a few rows are alone in
-    their bucket, so both exchanges carry two numbers a row and nothing else."""
+    their bucket; where the buckets that are not turn out few, the rows that look for them are not shuffled again."""
     rows = banded.select("node", F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("node").alias("low"))
-    others = written(rows.join(least, "band").filter("node != low").distinct(), "others")
-    return others.select("band", "node").union(others.select("band", F.col("low").alias("node")).distinct())
+    ends = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = small_side(written(ends.filter("low != high").select("band"), "shared"))
+    return written(rows.join(shared, "band").distinct(), "buckets")
 
 
 def central_pairs(held: DataFrame) -> DataFrame:
