@@ -62,7 +62,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-#: Rows of a few numbers that may be broadcast (some 32 MB).
+#: Rows of a few numbers or digests that may be broadcast (some 32 to 130 MB).
 BROADCAST_ROWS = 1_000_000
 
 
