@@ -204,8 +204,7 @@ def elements():
 
 
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(digest, rep, class_size) of every distinct line that is not alone in its class: the place of the line that stays
-    for it."""
+    """(digest, rep, class_size) of every distinct line with a word: the place of the line that stays for it."""
     distinct = written(
         lines(docs, key, text).groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "lines"
     )
@@ -217,20 +216,25 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_
 
     linked = link(written(banded(docs, text), "banded"), fetch, alike(threshold), elements(), threshold)
     # Only linked lines are grouped further; all others stand for themselves.
-    linked = small_side(written(linked, "linked"))
-    in_class = written(distinct.join(linked, "digest").select("digest", "root", "first", "n"), "in-class")
+    in_class = linked.join(distinct, "digest").select("digest", "root", "first", "n")
     groups = in_class.groupBy("root").agg(F.min("first").alias("rep"), F.sum("n").alias("class_size"))
     of_linked = in_class.select("digest", "root").join(groups, "root").select("digest", "rep", "class_size")
-    copied = distinct.filter("n > 1").join(linked, "digest", "left_anti")
-    return of_linked.union(copied.select("digest", F.col("first").alias("rep"), F.col("n").alias("class_size")))
+    return written(
+        distinct.join(of_linked, "digest", "left").select(
+            "digest", F.coalesce("rep", "first").alias("rep"), F.coalesce("class_size", "n").alias("class_size")
+        ),
+        "line-classes",
+    )
 
 
 def judged_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(at, rep, class_size, kept) of every line with a word."""
-    classes = small_side(written(line_classes(docs, threshold, key, text), "line-classes"))
-    judged = lines(docs, key, text).join(classes, "digest", "left")
-    rep = F.coalesce("rep", "at")
-    return judged.select("at", rep.alias("rep"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (F.col("at") == rep).alias("kept"))
+    classes = line_classes(docs, threshold, key, text)
+    return (
+        lines(docs, key, text)
+        .join(classes, "digest")
+        .select("at", "rep", "class_size", (F.col("at") == F.col("rep")).alias("kept"))
+    )
 
 
 def without_repeats(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
