@@ -294,6 +294,22 @@ def test_line_classes_equal_brute_force(spark, texts):
         assert r.kept == ((r["at"].id, r["at"].line_no) == want[line][0])
 
 
+def _kept_lines(spark, lines):
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    return {r["at"].line_no for r in line_dedup.judged_lines(docs).filter("kept").collect()}
+
+
+def test_lines_are_compared_by_five_characters(spark):
+    rng = random.Random(5)
+    lines = []
+    for n, changed in ((56, (28,)), (60, (30,)), (110, (30, 75)), (120, (40, 80))):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 2))
+        lines.append(f"<{line}>")
+        lines.append("".join("#" if i in changed else c for i, c in enumerate(lines[-1])))
+    lines += ["Alpha", "alphA", "Golden", "goLden"]
+    assert _kept_lines(spark, lines) == set(range(0, len(lines), 2))
+
+
 def test_lines_of_awkward_rows(clashing, empty, docs):
     out = line_dedup.without_repeats(clashing)
     assert out.columns == clashing.columns
