@@ -310,6 +310,18 @@ def test_lines_are_compared_by_five_characters(spark):
     assert _kept_lines(spark, lines) == set(range(0, len(lines), 2))
 
 
+def test_lines_that_repeat_a_phrase_meet_whatever_their_length(spark):
+    rng = random.Random(7)
+    sentence = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(68))
+    lines = ["-" * 50, "-" * 300, "buy now! " * 6, "buy now! " * 30, f"<{sentence}>", f"<{sentence}>" * 2]
+    shingles = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    for a, b in zip(shingles[::2], shingles[1::2], strict=True):
+        assert len(a & b) >= 0.8 * len(a | b)
+    assert _kept_lines(spark, lines) == {0, 2, 4}
+    hashes, counts = line_dedup.shingle_hashes(lines)
+    assert line_dedup.distinct_counts(hashes, counts).tolist() == [len(x) for x in shingles]
+
+
 def test_lines_of_awkward_rows(clashing, empty, docs):
     out = line_dedup.without_repeats(clashing)
     assert out.columns == clashing.columns

@@ -33,8 +33,8 @@ from tidemark.llm.near_dedup import mix
 SHINGLE, THRESHOLD = 5, 0.8
 #: 10 bands of 4 registers find a pair of similarity 0.8 with a probability of 0.995, one of 0.85 with 0.9994.
 BANDS, ROWS = 10, 4
-#: Lines of fewer shingles get a function for each register, those of as many or more one permutation, and those between
-#: the two both kinds: similar lines differ in shingles by a fifth at most.
+#: Lines of fewer distinct shingles get a function for each register, those of as many or more one permutation, and those
+#: between the two both kinds: similar lines differ in the number of distinct shingles by a fifth at most.
 FULL_BELOW, SPARSE_FROM = 100, 80
 #: Characters that are hashed together; lines a task remembers.
 CHUNK, SEEN = 1 << 18, 500_000
@@ -112,13 +112,27 @@ def _some(hashes: np.ndarray, counts: np.ndarray, chosen: np.ndarray) -> tuple[n
     return hashes[np.repeat(chosen, counts)], counts[chosen]
 
 
+def distinct_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many different shingles each line has. They are told apart by as many bits as a line's number leaves of 64."""
+    bits = np.uint64(len(counts).bit_length())
+    packed = np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << (np.uint64(64) - bits) | hashes >> bits
+    packed.sort()
+    first = np.ones(len(packed), dtype=bool)
+    first[1:] = packed[1:] != packed[:-1]
+    return np.bincount((packed[first] >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(counts))
+
+
 def line_bands(lines: list[str], nodes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, [line, band]) of lines with a shingle; a line between the two kinds stands twice."""
     hashes, counts = shingle_hashes(lines)
+    distinct = counts.copy()
+    long = counts >= SPARSE_FROM
+    if long.any():
+        distinct[long] = distinct_counts(*_some(hashes, counts, long))
     out_nodes, out_bands = [np.zeros(0, np.int64)], [np.zeros((0, bands), np.int64)]
     for kind, chosen, make in (
-        (0, (counts > 0) & (counts < FULL_BELOW), full_signatures),
-        (1, counts >= SPARSE_FROM, sparse_signatures),
+        (0, (distinct > 0) & (distinct < FULL_BELOW), full_signatures),
+        (1, distinct >= SPARSE_FROM, sparse_signatures),
     ):
         if chosen.any():
             out_nodes.append(nodes[chosen])
