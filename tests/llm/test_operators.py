@@ -412,6 +412,28 @@ def test_blocks():
     assert html.blocks(None) == [] and html.blocks("<p> &nbsp; </p>") == []
 
 
+def test_silent_elements_hide_no_more_than_their_own():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    article = "<article><p>one</p><p>two</p></article>"
+    assert texts(f"<header><button>Menu</header>{article}") == ["one", "two"]
+    assert texts(f"<header><button>Menu</header>{article}<form><button>Send</button></form>") == ["one", "two"]
+    assert texts(f"<div><button>Menu{article}<form><button>Send</button>name</form></div>") == ["one", "two", "name"]
+    for name in ("button", "select", "svg", "math", "object", "canvas", "video", "audio", "datalist"):
+        assert texts(f"<div><{name}><i>x</i></div>{article}") == ["one", "two"], name
+        assert texts(f"<body><{name}>x{article}tail") == ["one", "two", "tail"], name
+        assert texts(f"<{name}>x<p>y</p>z</{name}>{article}") == ["one", "two"], name
+    assert texts("<svg><g><svg><text>x</text></svg><text>y</text></g></svg><p>one") == ["one"]
+    assert texts("<title>x<p>y</title><p>one<textarea>z<p></textarea>") == ["one"]
+
+
+def test_paths_are_read_whole():
+    block = html.blocks('<div class="d-none d-md-block col-md-4 col-lg-3 sidebar"><p>links')[0]
+    assert html.declared(block) is False
+    deep = html.blocks("<div>" * 10 + '<div class="sidebar">' + "<div>" * 30 + "<p>links")[0]
+    assert html.declared(deep) is False
+    assert len(html.blocks("".join(f'<div class="c{i}">a' for i in range(20_000)))) == 20_000
+
+
 def test_html_extraction(spark, empty):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     net = html.fit(pages)

@@ -9,8 +9,10 @@ The network is trained here, on a bounded sample of the table's pages (labelled
 on pages composed of the sample's texts in other layouts, where the truth is known: articles in plain divisions, with
 menus, sidebars, notices, adverts, forms and reader comments before, after and inside them.
 
-Scripts, styles, comments, titles, form controls and other elements without running text are no blocks. Character
-references are decoded, white space within a block becomes one space; nothing is cut off.
+Scripts, styles, comments, titles, form controls and other elements without running text are no blocks. Those whose
+content is raw text end at their end tag only. Any other is silent up to its end tag; one that an enclosing element's end
+shows to have none is silent up to the next block-level tag. Character references are decoded, white space within a
+block becomes one space; nothing is cut off.
 
 Defined results: null and empty pages, and pages without a main block, give the empty text; repeated rows give repeated
 rows; an empty table gives an empty table; broken mark-up is read as browsers mostly do (an unclosed paragraph ends where
@@ -22,7 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +46,15 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math title textarea select button iframe object canvas video audio datalist".split())
+RAW = frozenset("script style noscript template title textarea iframe".split())
+SILENT = frozenset("svg math select button object canvas video audio datalist".split())
+#: Silent elements that a start tag of the same name ends.
+ALONE = frozenset(("button", "select"))
+#: Block-level tags, the first of which ends a silent element without an end tag.
+BLOCK = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
+    "h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"},
@@ -61,11 +71,23 @@ _ENDS: dict[str, re.Pattern] = {}
 
 @dataclass
 class Block:
+    """bins has a bit for each bin of the tag path, said what the path has of the words that training labels come from."""
+
     text: str
-    path: tuple[str, ...]
+    bins: int
+    said: frozenset[str]
     linked: int
 
 
+@dataclass
+class Silent:
+    """An open silent element: its place on the stack, the blocks before it, whether a block-level tag has come since."""
+
+    depth: int
+    before: int
+    ended: bool = False
+
+
 def _tokens(name: str, attrs: str) -> tuple[str, ...]:
     """What an element says it is: its tag, and the words of its class, id and role."""
     out = [f"<{name}>"]
@@ -80,15 +102,24 @@ def _tokens(name: str, attrs: str) -> tuple[str, ...]:
                 if value.lower() != "false":
                     out.append("hidden")
             else:
-                out += [w.lower() for w in _WORD.findall(value)[:8]]
+                out += [w.lower() for w in _WORD.findall(value)]
     return tuple(out)
 
 
+def _bins(tokens: Iterable[str]) -> int:
+    bits = 0
+    for t in tokens:
+        bits |= 1 << zlib.crc32(t.encode()) % PATH_BINS
+    return bits
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    #: Of each open element: its name, the bins of all tokens down to it, those of its own, and the path's known tokens.
+    stack: list[tuple[str, int, int, frozenset[str]]] = []
+    silent: list[Silent] = []
     parts: list[str] = []
     at = linked = 0
     in_link = False
@@ -97,9 +128,9 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
-                near = stack if len(stack) <= 24 else stack[:4] + stack[-20:]
-                out.append(Block(text, tuple(t for _, tokens in near for t in tokens), min(linked, len(text))))
+            if text and not (silent and not silent[-1].ended):
+                _, path, own, said = stack[-1] if stack else TOP
+                out.append(Block(text, path | own, said, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -111,6 +142,14 @@ def blocks(page: str | None) -> list[Block]:
             if in_link:
                 linked += len(piece)
 
+    def close(depth: int, by_own_end: bool = False) -> None:
+        """Leave the elements from this depth on. What a silent element holds goes if its own end tag closes it."""
+        del stack[depth:]
+        while silent and silent[-1].depth >= depth:
+            left = silent.pop()
+            if by_own_end and left.depth == depth:
+                del out[left.before :]
+
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -134,18 +173,30 @@ def blocks(page: str | None) -> list[Block]:
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k, by_own_end=True)
                     break
             continue
         attrs = m["attrs"]
-        if name in SILENT and not attrs.endswith("/>"):
+        if name in RAW and not attrs.endswith("/>"):
             end = _ENDS.setdefault(name, re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I)).search(page, at)
             at = end.end() if end else n
             continue
         while stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(name, ())):
-            stack.pop()
+            close(len(stack) - 1)
+        if name in ALONE and (before := next((x for x in reversed(silent) if stack[x.depth][0] == name), None)):
+            close(before.depth)
+        if name in BLOCK:
+            for x in reversed(silent):
+                if x.ended:
+                    break
+                x.ended = True
         if name not in VOID and not attrs.endswith("/>"):
-            stack.append((name, _tokens(name, attrs)))
+            if name in SILENT:
+                silent.append(Silent(len(stack), len(out)))
+            tokens = _tokens(name, attrs)
+            _, path, _, said = stack[-1] if stack else TOP
+            own = _bins(f"own {t}" for t in tokens)
+            stack.append((name, path | _bins(tokens), own, said | (KNOWN & set(tokens))))
     flush()
     return out
 
@@ -160,16 +211,14 @@ class Vectors:
     """Block vectors, with the bins of paths and words kept while they recur."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        self.paths: dict[int, np.ndarray] = {}
         self.words = _WordBins()
 
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        if (found := self.paths.get(path)) is None:
+    def path(self, bins: int) -> np.ndarray:
+        if (found := self.paths.get(bins)) is None:
             if len(self.paths) > 50_000:
                 self.paths.clear()
-            last = max((i for i, t in enumerate(path) if t[0] == "<"), default=0)
-            names = {*path, *(f"own {t}" for t in path[last:])}
-            found = self.paths[path] = np.array(sorted({zlib.crc32(t.encode()) % PATH_BINS for t in names}), dtype=np.int64)
+            found = self.paths[bins] = np.flatnonzero([bins >> k & 1 for k in range(PATH_BINS)])
         return found
 
     def of(self, page: list[Block]) -> np.ndarray:
@@ -178,7 +227,7 @@ class Vectors:
             self.words.clear()
         known = self.words
         for i, b in enumerate(page):
-            out[i, self.path(b.path)] = 1
+            out[i, self.path(b.bins)] = 1
             words = b.text.split()
             counts = np.bincount(list(map(known.__getitem__, words)), minlength=WORD_BINS)
             out[i, PATH_BINS : PATH_BINS + WORD_BINS] = np.sqrt(counts / len(words))
@@ -320,12 +369,15 @@ ASIDE_WORDS = frozenset(
     "respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset("article content entry main post story text body".split())
+KNOWN = ASIDE_WORDS | MAIN_WORDS | {f"<{t}>" for t in ASIDE_TAGS | MAIN_TAGS}
+#: What the stack holds above a page's outermost element.
+TOP: tuple[str, int, int, frozenset[str]] = ("", 0, 0, frozenset())
 
 
 def declared(b: Block) -> bool | None:
     """What a block's elements say it is: main text or not; None where they say nothing."""
-    tags = {t[1:-1] for t in b.path if t[0] == "<"}
-    words = {t for t in b.path if t[0] != "<"}
+    tags = {t[1:-1] for t in b.said if t[0] == "<"}
+    words = {t for t in b.said if t[0] != "<"}
     if tags & (ASIDE_TAGS - {"header"}) or words & ASIDE_WORDS or ("header" in tags and not tags & MAIN_TAGS):
         return False
     if tags & MAIN_TAGS or words & MAIN_WORDS:
