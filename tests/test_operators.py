@@ -115,3 +115,23 @@ def test_sessions(spark):
     df = spark.createDataFrame([(1, t), (1, t + datetime.timedelta(minutes=30)), (1, t + datetime.timedelta(hours=3))], "u int, ts timestamp")
     out = frame.sessionize(df.withColumn("i", F.monotonically_increasing_id()), "u", "ts", 3600, "i")
     assert sorted(r.session for r in out.collect()) == [1, 1, 2]
+
+
+def test_rows_are_numbered_over_several_partitions(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t = spark.range(500).select(F.nullif(F.col("id") % 3, F.lit(0)).alias("k"), (F.col("id") * 7919 % 500).alias("v"))
+        out = frame.numbered(t, [F.asc_nulls_last("k"), F.asc("v")], "place", str(tmp_path / "numbered")).collect()
+        assert spark.read.parquet(str(tmp_path / "numbered")).select("__part").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.place for r in sorted(out, key=lambda r: (r.k is None, r.k or 0, r.v))] == list(range(1, 501))
+    assert frame.numbered(t.limit(0), [F.asc("v")], "place", str(tmp_path / "none")).collect() == []
+
+
+def test_order_nulls_ranks_in_no_single_task(spark):
+    from conftest import SF
+    from tidemark.plans import registry
+
+    plan = registry.queries()["order_nulls"](spark, SF)._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan

@@ -74,6 +74,21 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     )
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, path: str) -> DataFrame:
+    """df with name: 1, 2, ... in the given order, which should end in a unique column. Rows are sorted by range partitions
+    and written to path; each partition's offset is the sum of the counts before it, so no task ever has all rows."""
+    spark = df.sparkSession
+    placed = df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    # A row for each partition.
+    counts = sorted(placed.groupBy("__part").count().collect())
+    offsets = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
+    offset = F.broadcast(spark.createDataFrame(offsets, "__part int, __offset long"))
+    within = F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33)
+    return placed.join(offset, "__part").withColumn(name, within + F.col("__offset") + 1).drop("__part", "__at", "__offset")
+
+
 def grouped(data: GroupedData, name: str, *columns: str) -> DataFrame:
     """An aggregate of each column by its name, for those that grouped data has no method for: count_distinct,
     collect_list, collect_set, first, last, stddev, variance, median, mode."""

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
-
 from tidemark import functions as F
 from tidemark.operators import frame
+from tidemark.plans.platform import scratch
 from tidemark.plans.registry import register, table
 
 # --- filters and projections -----------------------------------------------------------------------------------------
@@ -268,7 +267,7 @@ def top_k_per_group(spark, d):
 @register("order_nulls", "SELECT user_id, k, row_number() OVER (ORDER BY k ASC NULLS LAST, user_id) AS place FROM (SELECT DISTINCT user_id, nullif(event_type, 'error') AS k FROM events WHERE user_id < 20)")
 def order_nulls(spark, d):
     e = table(spark, d, "events").filter("user_id < 20").select("user_id", F.nullif(F.col("event_type"), F.lit("error")).alias("k")).distinct()
-    return e.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("k"), F.asc("user_id"))).cast("long"))
+    return frame.numbered(e, [F.asc_nulls_last("k"), F.asc_nulls_last("user_id")], "place", scratch(spark, "ordered"))
 
 
 @register("range_partitioned_sort", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
