@@ -52,9 +52,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each class the document with the least identifier stays."""
+    """MinHash near-dedup: of each class the document with the least identifier stays, once if its row is repeated."""
     judged = near_dedup.classes(_marked(docs), key="at")
-    return _only(docs, _of(judged.filter("kept")))
+    kept = written(_of(judged.filter("kept")).groupBy("doc_id", "__of").agg(F.count(F.lit(1)).alias("n")), "kept")
+    # Only repeated rows are shuffled with their texts.
+    repeated = _only(docs, kept.filter("n > 1")).withColumn("__of", F.xxhash64("text")).dropDuplicates(["doc_id", "__of"])
+    return _only(docs, kept.filter("n = 1")).unionByName(repeated.drop("__of"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

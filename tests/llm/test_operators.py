@@ -250,6 +250,12 @@ def test_near_dedup_rows(clashing, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_near_copies_without_an_identifier_are_linked(spark):
+    rows = [(None, BASE), (2, BASE.replace("word59", "other")), (3, "quite another text of some more words")]
+    out = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.class_size, r.kept) for r in out} == {(None, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)}
+
+
 # --- 1: lines --------------------------------------------------------------------------------------------------------
 
 

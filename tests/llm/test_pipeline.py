@@ -42,3 +42,10 @@ def test_stages(spark):
     good = spark.read.parquet(f"{SF_L}/labels.parquet").filter("quality = 1").join(source.filter(F.size(F.split("text", r"\s+")) >= 60), "doc_id")
     kept = good.join(seen["quality_rules"], "doc_id", "left_semi").count()
     assert kept >= 0.95 * good.count()
+
+
+def test_near_dedup_keeps_one_of_rows_that_repeat_whole(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " more"), (3, "another text altogether"), (4, None), (4, None), (None, "no name"), (None, "no name")]
+    out = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_L)
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, text), (3, "another text altogether"), (4, None), (None, "no name")]))

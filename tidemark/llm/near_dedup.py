@@ -212,8 +212,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
 
     def fetch(wanted: DataFrame) -> DataFrame:
         """One row of each wanted text, by the identifier of its first copy."""
-        chosen = small_side(written(distinct.join(wanted, "node").select("id", "digest"), "wanted"))
-        return keys(texts.join(chosen, ["id", "digest"])).dropDuplicates(["digest"])
+        chosen = distinct.join(wanted, "node").select(F.col("id").alias("of"), F.col("digest").alias("wanted"))
+        chosen = small_side(written(chosen, "wanted"))
+        same = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("wanted"))
+        return keys(texts.join(chosen, same)).dropDuplicates(["digest"])
 
     linked = link(distinct.select("node", "bands"), fetch, overlap(threshold), lambda item: item, threshold)
     rooted = distinct.join(linked, "digest", "left").select("digest", "id", "copies", F.coalesce("root", "digest").alias("root"))
