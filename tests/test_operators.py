@@ -135,3 +135,12 @@ def test_order_nulls_ranks_in_no_single_task(spark):
 
     plan = registry.queries()["order_nulls"](spark, SF)._jdf.queryExecution().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_pandas_queries_hold_no_whole_group(spark):
+    from conftest import SF
+    from tidemark.plans import registry
+
+    plan = lambda name: registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan("udf_grouped_aggregate")
+    assert "min(s_acctbal" in plan("udf_apply_in_pandas")

@@ -128,11 +128,18 @@ def udf_scalar_arrow(spark, d):
 
 @register("udf_grouped_aggregate", "SELECT p_type, round(max(p_retailprice) - min(p_retailprice), 4) AS spread FROM part GROUP BY 1")
 def udf_grouped_aggregate(spark, d):
+    """A row for each type and batch first, so a hot type's group holds two numbers a batch."""
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.groupby("p_type", dropna=False).p_retailprice.agg(low="min", high="max").reset_index()
+
     @F.pandas_udf("double")
-    def spread(v: pd.Series) -> float:
-        return round(v.max() - v.min(), 4)
+    def spread(low: pd.Series, high: pd.Series) -> float:
+        return round(high.max() - low.min(), 4)
 
-    return table(spark, d, "part").groupBy("p_type").agg(spread("p_retailprice").alias("spread"))
+    parts = table(spark, d, "part").select("p_type", "p_retailprice").mapInPandas(ends, "p_type string, low double, high double")
+    return parts.groupBy("p_type").agg(spread("low", "high").alias("spread"))
 
 
 @register("udf_map_in_pandas", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 490000")
@@ -146,10 +153,15 @@ def udf_map_in_pandas(spark, d):
 
 @register("udf_apply_in_pandas", "SELECT s_suppkey, s_nationkey, round(s_acctbal - min(s_acctbal) OVER (PARTITION BY s_nationkey), 2) AS above FROM supplier")
 def udf_apply_in_pandas(spark, d):
+    """The least balance of a nation comes from an aggregate, so groups may be cut: one holds 4,096 keys at most."""
+
     def above(g: pd.DataFrame) -> pd.DataFrame:
-        return g.assign(above=(g.s_acctbal - g.s_acctbal.min()).round(2))[["s_suppkey", "s_nationkey", "above"]]
+        return g.assign(above=(g.s_acctbal - g.low).round(2))[["s_suppkey", "s_nationkey", "above"]]
 
-    return table(spark, d, "supplier").groupBy("s_nationkey").applyInPandas(above, "s_suppkey long, s_nationkey int, above double")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    least = s.groupBy(F.col("s_nationkey").alias("of")).agg(F.min("s_acctbal").alias("low"))
+    parts = s.join(least, F.col("s_nationkey").eqNullSafe(F.col("of"))).withColumn("part", F.shiftright("s_suppkey", 12))
+    return parts.groupBy("s_nationkey", "part").applyInPandas(above, "s_suppkey long, s_nationkey int, above double")
 
 
 @register("udtf_words", "SELECT unnest(string_split(p_name, ' ')) AS word, p_partkey FROM part")
