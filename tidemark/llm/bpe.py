@@ -22,11 +22,12 @@ from heapq import heappop, heappush
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, text_or_empty
+from tidemark.llm.common import with_found
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Recent pre-tokens kept with their ids in each Python worker, in two generations of this size (about 270 MB
@@ -179,13 +180,11 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) of every whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute():
         c = codec(path)
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "ids": [c.encode(t) for t in b["__text"]]})
+        return lambda texts: [pa.array([c.encode(t) for t in texts], pa.list_(pa.int32()))]
 
-    source = docs.select(F.col(key), text_or_empty(text).alias("__text"))
-    return bounded_batches(source).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return with_found(docs.select(F.col(key), F.col(text)), text, "ids array<int>", compute).select(F.col(key), "__found.ids")
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -197,27 +196,29 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             yield pd.DataFrame({key: b[key], "decoded": [c.decode(() if x is None else x) for x in b["__ids"]]})
 
     source = encoded.select(F.col(key), F.col(ids).alias("__ids"))
-    return bounded_batches(source).mapInPandas(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, decoded binary")
+    return source.mapInPandas(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, decoded binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): each text encoded, its ids decoded again, in one pass over the
     documents, so that the ids (some four bytes for every three of text) never travel between processes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute():
         c = codec(path)
-        for b in batches:
+
+        def of(texts: list[str]) -> list:
             n, left, right = [], [], []
-            for t in b["__text"]:
+            for t in texts:
                 ids = c.encode(t)
                 n.append(len(ids))
                 left.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
                 right.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pd.DataFrame({key: b[key], "n_tokens": n, "ids_sha256": left, "decoded_sha256": right})
+            return [n, left, right]
+
+        return of
 
-    source = docs.select(F.col(key), text_or_empty(text).alias("__text"))
-    kind = docs.schema[key].dataType.simpleString()
-    return bounded_batches(source).mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = with_found(docs.select(F.col(key), F.col(text)), text, "n_tokens long, ids_sha256 string, decoded_sha256 string", compute)
+    return out.select(F.col(key), "__found.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

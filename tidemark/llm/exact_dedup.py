@@ -2,17 +2,21 @@
 
 A stream of rows is keyed by the digest of its text. Structured Streaming keeps one state row for each digest in
 RocksDB on the executors' disks, checkpointed to the shared folder, with no watermark and so without expiry: the stable
-identifier of the row that stays (the largest), the locator of its content (file and row) and the number of rows. A later
-run over the same checkpoint goes on from that state with new files only. After the stream has drained, the state is
-read back as a table, and every hit (a row that shares its digest with another) is checked byte by byte against the text
-of the row that stays. Rows whose bytes differ, a collision of digests, are grouped once more by their whole text.
+identifier of the row that stays (the largest), the locator of its content (file, and row in it) and the number of rows. A
+later run over the same checkpoint goes on from that state with new files only. After the stream has drained, the state is
+read back as a table, and every hit (a row that shares its digest with another) is checked by its full bytes against the
+content that the locator of the row that stays points to. Rows whose bytes differ, a collision of digests, are grouped once
+more by their whole text.
 
 Everything is DataFrame code. Partial aggregation runs before the shuffle to the state, so a group of copies sends one
-row for each task; the joins that follow are plain equi-joins that adaptive execution splits where a group is hot.
+row for each task. The join with the state carries digests and identifiers only; whole texts move only for hits, and those
+of a task that are the same bytes under one digest move once, so a group that holds a third of all rows is a row a task.
 
 Defined results: null text counts as the empty text; repeated rows with one identifier count as members of their
-group, each with its own output row, and those that carry the largest identifier all stay; an empty table gives an empty
-table; further columns are ignored, whatever their names; texts are compared whole, without normalisation.
+group, each with its own output row, and those that carry the largest identifier all stay; rows without an identifier are
+grouped and checked like all others, and stay only where no row of their group has one; an identifier that stands on
+several texts is a member of each of their groups; an empty table gives an empty table; further columns are ignored,
+whatever their names; texts are compared whole, without normalisation.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, scratch_path, settings, text_or_empty, written
+from tidemark.llm.common import dropped, scratch_path, settings, small_side, text_or_empty, written
 
 #: State on disk, and each partition's store closed when its task ends: an open one holds some 4 MB of disk and memory.
 STATE_CONF = {
@@ -49,7 +53,7 @@ def update_state(
         F.struct(
             F.col(key).alias("id"),
             F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.row_index").alias("row"),
         ).alias("at"),
     )
     state = keyed.groupBy("digest").agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -65,18 +69,24 @@ def update_state(
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The state as a table: digest, keep_id, file, block, n."""
+    """The state as a table: digest, keep_id, file, row, n."""
     state = spark.read.format("statestore").load(checkpoint)
     value = state.schema["value"].dataType.fieldNames()
     return state.select(
         F.col("key.digest").alias("digest"),
         F.col(f"value.`{value[0]}`.id").alias("keep_id"),
         F.col(f"value.`{value[0]}`.file").alias("file"),
-        F.col(f"value.`{value[0]}`.block").alias("block"),
+        F.col(f"value.`{value[0]}`.row").alias("row"),
         F.col(f"value.`{value[1]}`").alias("n"),
     )
 
 
+def _collided(hits: DataFrame) -> DataFrame:
+    """(digest) of hits (digest, body, stays) under which not all bytes are those of the row that stays."""
+    texts = hits.groupBy("digest", "body").agg(F.bool_or("stays").alias("stays"))
+    return texts.groupBy("digest").agg(F.bool_and("stays").alias("same")).filter("not same").select("digest")
+
+
 def resolve(
     docs: DataFrame,
     state: DataFrame,
@@ -84,36 +94,20 @@ def resolve(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """(key, keep_id, group_size, kept, text_sha256) for every row of docs, which state must cover."""
-    rows = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("body"))
-    rows = rows.select("id", digest(F.col("body")).alias("digest"), "body")
-    found = state.select("digest", "keep_id", "n")
-    hit = F.col("n") > 1
-    # Both uses of members read the same exchange of whole texts.
-    members = rows.join(found, "digest")
-    kept = (
-        members.filter(hit & (F.col("id") == F.col("keep_id")))
-        .groupBy(F.col("keep_id").alias("of"))
-        .agg(F.max("body").alias("kept_body"))
-    )
-    # A row that stays needs no check; its key is null in the join, and nulls never meet.
-    asked = F.when(hit & (F.col("id") != F.col("keep_id")), F.col("keep_id"))
-    checked = (
-        members.select(
-            "id", "digest", "keep_id", "n", F.sha2("body", 256).alias("sha"), asked.alias("asked"),
-            F.when(asked.isNotNull(), F.col("body")).alias("body"),
-        )
-        .join(kept, F.col("asked") == F.col("of"), "left")
-        .select(
-            "id", "digest", "sha", "keep_id", "n",
-            F.coalesce(F.col("body") == F.col("kept_body"), F.lit(True)).alias("same"),
-        )
+    """(key, keep_id, group_size, kept, text_sha256) for every row of docs, read from files, which state must cover."""
+    body = text_or_empty(text)
+    rows = docs.select(
+        F.col(key).alias("id"), digest(body).alias("digest"), body.alias("body"),
+        F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"),
     )
-    checked = written(checked, "exact-checked")
-    good = checked.filter("same")
-    if not checked.filter("not same").isEmpty():
-        good = _regrouped(rows, checked)
-    return good.select(
+    hit = written(state.filter("n > 1").select("digest", "file", "row"), "hits")
+    stays = (F.col("at_file") == F.col("file")) & (F.col("at_row") == F.col("row"))
+    hits = rows.join(small_side(hit), "digest").select("digest", "body", stays.alias("stays"))
+    collided = written(_collided(hits), "collided")
+    found = rows.select("id", "digest", F.sha2("body", 256).alias("sha")).join(state.select("digest", "keep_id", "n"), "digest")
+    if collided.limit(1).count():
+        found = _regrouped(rows, found, collided)
+    return found.select(
         F.col("id").alias(key),
         "keep_id",
         F.col("n").alias("group_size"),
@@ -122,11 +116,10 @@ def resolve(
     )
 
 
-def _regrouped(rows: DataFrame, checked: DataFrame) -> DataFrame:
+def _regrouped(rows: DataFrame, found: DataFrame, collided: DataFrame) -> DataFrame:
     """Rows of digests under which different texts have met are grouped by their text."""
-    met = checked.filter("not same").select("digest").distinct()
-    clean = checked.join(met, "digest", "left_anti").select("id", "sha", "keep_id", "n")
-    again = rows.join(met, "digest", "left_semi")
+    clean = found.join(collided, "digest", "left_anti").select("id", "sha", "keep_id", "n")
+    again = rows.join(collided, "digest", "left_semi")
     groups = again.groupBy("digest", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     split = again.join(groups, ["digest", "body"]).select("id", F.sha2("body", 256).alias("sha"), "keep_id", "n")
     return clean.unionByName(split)
@@ -140,9 +133,10 @@ def deduplicate(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """Bring the state under checkpoint up to date with the stream, then resolve docs, the same rows read as a batch."""
+    """Bring the state under checkpoint up to date with the stream, then resolve docs, the same rows read as a batch. The
+    result reads a copy of the state, so the checkpoint may go on or go away."""
     update_state(stream, checkpoint, digest, key, text)
-    return resolve(docs, read_state(docs.sparkSession, checkpoint), digest, key, text)
+    return resolve(docs, written(read_state(docs.sparkSession, checkpoint), "exact-table"), digest, key, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,15 @@ all blocks of a page, each as a hashed vector of its tag path (tags, and words o
 around it), a hashed vector of its words, and a few measures, and gives every block the probability of being main text.
 The context is the whole document, both ways. Blocks above one half are joined in page order.
 
-The network is trained here, on a bounded sample of the table's pages (labelled by what their elements say they are) and
-on pages composed of the sample's texts in other layouts, where the truth is known: articles in plain divisions, with
-menus, sidebars, notices, adverts, forms and reader comments before, after and inside them.
+The network is trained here, in one task, on a sample of the table's pages that is bounded in number (labelled by what
+their elements say they are) and on pages composed of the sample's texts in other layouts, where the truth is known:
+articles in plain divisions, with menus, sidebars, notices, adverts, forms and reader comments before, after and inside
+them. A long page is read by the network in stretches that hand their state on, so memory follows the blocks' states only.
 
-Scripts, styles, comments, titles, form controls and other elements without running text are no blocks. Those whose
-content is raw text end at their end tag only. Any other is silent up to its end tag; one that an enclosing element's end
-shows to have none is silent up to the next block-level tag. Character references are decoded, white space within a
-block becomes one space; nothing is cut off.
+Scripts, styles, comments, the page's title and form controls (buttons, selections, text areas, lists of data) are no
+blocks; whatever else has text is one, or part of one, such as mathematics in a sentence. Raw text ends at its end tag
+only. A control is silent up to its end tag; one that an enclosing element's end shows to have none is silent up to the
+next block-level tag. Character references are decoded, white space within a block becomes one space; nothing is cut off.
 
 Defined results: null and empty pages, and pages without a main block, give the empty text; repeated rows give repeated
 rows; an empty table gives an empty table; broken mark-up is read as browsers mostly do (an unclosed paragraph ends where
@@ -24,7 +25,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,22 +33,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, text_or_empty
+from tidemark.llm.common import with_found
 
-FIT_PAGES, FIT_CHARS, COMPOSED_PAGES, EPOCHS, SEED = 200, 60_000, 500, 8, 5
+FIT_PAGES, COMPOSED_PAGES, EPOCHS, SEED = 200, 500, 8, 5
 HIDDEN, PATH_BINS, WORD_BINS, MEASURES = 16, 160, 32, 7
 WIDTH = PATH_BINS + WORD_BINS + MEASURES
-#: Blocks (of all pages together) that go through the network at a time.
-CELLS = 16_000
+#: Blocks (of all pages together) that go through the network at a time; of one page, in scoring and in training.
+CELLS, STRETCH, FIT_STRETCH = 16_000, 8_000, 400
 
 # Kinds of elements.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong "
-    "sub sup time tt u var wbr".split()
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i iframe img ins kbd label map mark math "
+    "annotation maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
+    "object output picture q ruby rb rp rt rtc s samp slot small span strike strong sub sup svg text textpath tspan time tt u "
+    "var video wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe".split())
-SILENT = frozenset("svg math select button object canvas video audio datalist".split())
+RAW = frozenset("script style title textarea".split())
+SILENT = frozenset("select button datalist".split())
 #: Silent elements that a start tag of the same name ends.
 ALONE = frozenset(("button", "select"))
 #: Block-level tags, the first of which ends a silent element without an end tag.
@@ -221,7 +225,10 @@ class Vectors:
             found = self.paths[bins] = np.flatnonzero([bins >> k & 1 for k in range(PATH_BINS)])
         return found
 
-    def of(self, page: list[Block]) -> np.ndarray:
+    def of(self, page: list[Block], start: int = 0, end: int | None = None) -> np.ndarray:
+        """Vectors of the page's blocks from start to end."""
+        total = len(page)
+        page = page[start:end]
         out = np.zeros((len(page), WIDTH), dtype=np.float32)
         if len(self.words) > 300_000:
             self.words.clear()
@@ -237,7 +244,7 @@ class Vectors:
                 np.log1p(len(words)) / 4,
                 b.linked / n,
                 min(1.0, 20 * sum(map(b.text.count, ".,;!?")) / n),
-                i / max(1, len(page) - 1),
+                (start + i) / max(1, total - 1),
                 "©" in b.text,
                 b.text[-1] in ".!?…\"”»",
             )
@@ -270,12 +277,11 @@ class Network:
         step = np.arange(longest)[None, :]
         return np.where(step < lengths[:, None], lengths[:, None] - 1 - step, step)
 
-    def _direction(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _direction(self, x: np.ndarray, d: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple]:
         n, t, _ = x.shape
         wh, h = self.w["wh" + d], HIDDEN
         gates_x = x @ self.w["wx" + d] + self.w["b" + d]
-        hidden = np.zeros((n, h), dtype=np.float32)
-        cell = np.zeros((n, h), dtype=np.float32)
+        hidden, cell = state or (np.zeros((n, h), dtype=np.float32), np.zeros((n, h), dtype=np.float32))
         out, kept = np.zeros((n, t, h), dtype=np.float32), []
         for k in range(t):
             z = gates_x[:, k] + hidden @ wh
@@ -287,13 +293,25 @@ class Network:
                 kept.append((i, f, o, g, cell, tanh, hidden))
             cell, hidden = new, o * tanh
             out[:, k] = hidden
-        return out, kept
+        return out, kept, (hidden, cell)
+
+    def one(self, n: int, vectors: Callable[[int, int], np.ndarray], stretch: int = STRETCH) -> np.ndarray:
+        """Probabilities for one page of n blocks, whose vectors(start, end) are made a stretch at a time."""
+        score = np.zeros(n, dtype=np.float32)
+        parts = [(at, min(n, at + stretch)) for at in range(0, n, stretch)]
+        for d, order in (("0", parts), ("1", parts[::-1])):
+            state, weight = None, self.w["out"][:HIDDEN] if d == "0" else self.w["out"][HIDDEN:]
+            for a, b in order:
+                step = 1 if d == "0" else -1
+                hidden, _, state = self._direction(vectors(a, b)[None, ::step], d, False, state)
+                score[a:b] += (hidden[0] @ weight)[::step]
+        return _sigmoid(score + self.w["bias"])
 
     def forward(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
         rows, flip = np.arange(len(x))[:, None], self._flip(lengths, x.shape[1])
-        ahead, kept0 = self._direction(x, "0", keep)
+        ahead, kept0, _ = self._direction(x, "0", keep)
         x_back = x[rows, flip]
-        back, kept1 = self._direction(x_back, "1", keep)
+        back, kept1, _ = self._direction(x_back, "1", keep)
         both = np.concatenate([ahead, back[rows, flip]], axis=2)
         p = _sigmoid(both @ self.w["out"] + self.w["bias"])
         return p, (both, flip, x_back, kept0, kept1)
@@ -389,8 +407,8 @@ def compose(rng: np.random.Generator, main: list[str], other: list[str]) -> str:
     """A page in a random layout; each block's text starts with a private character that tells what it is."""
     esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    good = lambda: "" + esc(pick(main))
-    bad = lambda: "" + esc(pick(other if rng.random() < 0.6 else main)[: int(rng.integers(8, 240))])
+    good = lambda: "\ue000" + esc(pick(main))
+    bad = lambda: "\ue001" + esc(pick(other if rng.random() < 0.6 else main)[: int(rng.integers(8, 240))])
 
     def links(n: int) -> str:
         item = lambda: f'<li><a href="/{int(rng.integers(99))}">{bad()[:30]}</a></li>'
@@ -454,6 +472,13 @@ def compose(rng: np.random.Generator, main: list[str], other: list[str]) -> str:
     return f"<html><head><title>{esc(pick(main))[:40]}</title></head><body>{''.join(top)}{shell}{''.join(bottom)}</body></html>"
 
 
+def _stretches(page: list[Block], said: list[bool], vectors: Vectors) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(vectors, labels) of a page, in runs that fit a batch."""
+    for at in range(0, len(page), FIT_STRETCH):
+        end = min(len(page), at + FIT_STRETCH)
+        yield vectors.of(page, at, end), np.array(said[at:end], dtype=np.float32)
+
+
 def training_pages(pages: list[str], composed: int = COMPOSED_PAGES, seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray]]:
     """(vectors, labels) of the sample and of composed pages."""
     vectors, out, main, other = Vectors(), [], [], []
@@ -463,30 +488,38 @@ def training_pages(pages: list[str], composed: int = COMPOSED_PAGES, seed: int =
         for b, s in zip(found, said, strict=True):
             (main if s else other).append(b.text) if s is not None else None
         if found and None not in said:
-            out.append((vectors.of(found), np.array(said, dtype=np.float32)))
+            out += _stretches(found, said, vectors)
     main, other = main or ["Lorem ipsum dolor sit amet, consectetur."], other or ["Home", "About us", "Contact"]
     rng = np.random.default_rng(seed)
     for _ in range(composed):
         found = blocks(compose(rng, main, other))
-        found = [b for b in found if b.text.lstrip("© ")[:1] in ("", "")]
-        said = [b.text.lstrip("© ")[0] == "" for b in found]
+        found = [b for b in found if b.text.lstrip("© ")[:1] in ("\ue000", "\ue001")]
+        said = [b.text.lstrip("© ")[0] == "\ue000" for b in found]
         for b in found:
-            b.text = b.text.replace("", "").replace("", "").strip() or "x"
+            b.text = b.text.replace("\ue000", "").replace("\ue001", "").strip() or "x"
         if found:
-            out.append((vectors.of(found), np.array(said, dtype=np.float32)))
+            out += _stretches(found, said, vectors)
     return out
 
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, key: str = "page_id", html: str = "html") -> Network:
-    """A network trained on about fit_pages pages (chosen by a hash of the key) and composed ones."""
+    """A network trained, in one task, on about fit_pages pages (chosen by a hash of the key) and composed ones."""
     n = pages.count()
     below = max(1, int(min(1.0, fit_pages / max(n, 1)) * 2**20))
-    sample = pages.filter(
-        (F.pmod(F.xxhash64(F.col(key)), F.lit(2**20)) < F.lit(below)) & F.length(F.col(html)).between(1, FIT_CHARS)
-    )
-    # Bounded by fit_pages and FIT_CHARS.
-    found = sorted(r[0] for r in sample.select(html).collect())
-    return train(training_pages(found))
+    sample = pages.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(2**20)) < F.lit(below)).select(F.col(html).alias("html"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = sorted(page for b in batches for page in b["html"])
+        net = train(training_pages(found))
+        yield pd.DataFrame({"name": list(net.w), "value": [v.tobytes() for v in net.w.values()]})
+
+    weights = sample.filter("html <> ''").repartition(1).mapInPandas(run, "name string, value binary").collect()
+    if not weights:  # no page with anything on it: composed ones only
+        return train(training_pages([]))
+    net = Network()
+    for r in weights:
+        net.w[r["name"]] = np.frombuffer(r["value"], dtype=np.float32).reshape(net.w[r["name"]].shape).copy()
+    return net
 
 
 def main_texts(pages: list[str | None], net: Network, vectors: Vectors) -> list[str]:
@@ -500,8 +533,12 @@ def main_texts(pages: list[str | None], net: Network, vectors: Vectors) -> list[
         while end < len(order) and len(found[order[end]]) * (end + 1 - at) <= CELLS:
             end += 1
         part = order[at:end]
-        x, lengths = _padded([vectors.of(found[i]) for i in part])
-        p, _ = net.forward(x, lengths)
+        if len(found[part[0]]) > STRETCH:
+            page = found[part[0]]
+            p = [net.one(len(page), lambda a, b, page=page: vectors.of(page, a, b))]
+        else:
+            x, lengths = _padded([vectors.of(found[i]) for i in part])
+            p, _ = net.forward(x, lengths)
         for row, i in enumerate(part):
             out[i] = "\n".join(b.text for b, q in zip(found[i], p[row], strict=False) if q > 0.5)
         at = end
@@ -511,19 +548,17 @@ def main_texts(pages: list[str | None], net: Network, vectors: Vectors) -> list[
 def extract(pages: DataFrame, net: Network, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """(key, url, text, n_chars) of every whole page."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute():
         vectors = Vectors()
-        for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at : at + 1000]
-                texts = main_texts(part["__html"].tolist(), net, vectors)
-                yield pd.DataFrame(
-                    {key: part[key].to_numpy(), url: part[url].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]}
-                )
-
-    kind = pages.schema[key].dataType.simpleString()
-    source = pages.select(key, url, text_or_empty(html).alias("__html"))
-    return bounded_batches(source).mapInPandas(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long")
+
+        def of(found: list[str]) -> list:
+            texts = main_texts(found, net, vectors)
+            return [texts, [len(t) for t in texts]]
+
+        return of
+
+    out = with_found(pages.select(key, url, html), html, "text string, n_chars long", compute)
+    return out.select(F.col(key), F.col(url), "__found.text", "__found.n_chars")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,14 @@ A line is the set of its five-character shingles, in lower case. Identical lines
 MinHash signatures: long lines by one permutation, whose shingles are dealt over the registers, empty registers
 borrowing from others; short lines, where most registers would be empty, by a function for each register. Lines between
 the two kinds get both. Bands of the signatures give candidates, their exact Jaccard similarity is computed from the
-lines, and linked lines form components by distributed star contraction. One line of each component stays: the first, by
+lines, and linked lines form components by distributed union-find. One line of each component stays: the first, by
 document and number of the line, in the whole corpus.
 
 Lines are what a split at \\n gives; lines of white space only are neither compared nor dropped. Lines of fewer than
 five characters are dropped only as exact copies. Defined results: null texts have no lines and stay null; a document
-that loses every line keeps an empty text; rows that repeat both identifier and text are one document and get the same
-result; an empty table gives an empty table; further columns pass through, whatever their names; lines of any length are
-read whole.
+that loses every line keeps an empty text; rows that repeat both identifier and text are one document that was read
+twice, and get the same result, since which row of a document stays is not a question of its lines; an empty table gives
+an empty table; further columns pass through, whatever their names; lines of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,19 +25,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, small_side, written
-from tidemark.llm.lsh import link
+from tidemark.llm.common import freed, slices, small_side, written
+from tidemark.llm.lsh import ROWS as BAND_ROWS
+from tidemark.llm.lsh import band_rows, by_text, link
 from tidemark.llm.near_dedup import mix
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: 10 bands of 4 registers find a pair of similarity 0.8 with a probability of 0.995, one of 0.85 with 0.9994.
-BANDS, ROWS = 10, 4
+#: 18 bands of 6 registers find a pair of similarity 0.8 with a probability of 0.9958 (10 bands of 4: 0.9949), one of 0.85
+#: with 0.9998, and bring a fourteenth of the unlike lines together that 10 bands of 4 do.
+BANDS, ROWS = 18, 6
 #: Lines of fewer distinct shingles get a function for each register, those of as many or more one permutation, and those
 #: between the two both kinds: similar lines differ in the number of distinct shingles by a fifth at most.
 FULL_BELOW, SPARSE_FROM = 100, 80
 #: Characters that are hashed together; lines a task remembers.
 CHUNK, SEEN = 1 << 18, 500_000
+#: Pairs that are compared together (4,096 at most); how close to the threshold hashes are not enough.
+PAIRS, SLACK = 500, 4.0
 _BASE = np.uint64(0x100000001B3)
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -141,38 +146,36 @@ def line_bands(lines: list[str], nodes: np.ndarray, bands: int = BANDS, rows: in
 
 
 def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, bands) of lines; lines that repeat in a task mostly stand once."""
+    """(band, node, over) of lines; lines that repeat in a task mostly stand once."""
 
     def emit(lines: dict[int, str]) -> pa.RecordBatch:
-        nodes, found = line_bands(list(lines.values()), np.array(list(lines), dtype=np.int64), bands, rows)
-        lists = pa.ListArray.from_arrays(np.arange(len(nodes) + 1, dtype=np.int32) * bands, pa.array(found.reshape(-1)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes), lists], ["node", "bands"])
+        return band_rows(*line_bands(list(lines.values()), np.array(list(lines), dtype=np.int64), bands, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         waiting: dict[int, str] = {}
         chars = 0
-        for b in batches:
-            for t in b.column(0):
-                for line in (t.as_py() or "").split("\n"):
-                    if len(line) < SHINGLE or not line.strip(_BLANK):
-                        continue
-                    node = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
-                    node -= (node >> 63) << 64
-                    if node not in seen:
-                        seen.add(node)
-                        waiting[node] = line.lower()
-                        chars += len(line)
-                if chars >= CHUNK:
-                    yield emit(waiting)
-                    waiting, chars = {}, 0
-            if waiting:
-                yield emit(waiting)
-                waiting, chars = {}, 0
-            if len(seen) > SEEN:
-                seen.clear()
-
-    return bounded_batches(docs.select(F.col(text).alias("__text"))).mapInArrow(run, "node long, bands array<long>")
+        for batch in batches:
+            for b in slices(batch, 0):
+                for t in b.column(0).to_pylist():
+                    for line in (t or "").split("\n"):
+                        if len(line) < SHINGLE or not line.strip(_BLANK):
+                            continue
+                        node = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+                        node -= (node >> 63) << 64
+                        if node not in seen:
+                            seen.add(node)
+                            waiting[node] = line.lower()
+                            chars += len(line)
+                    if chars >= CHUNK:
+                        yield emit(waiting)
+                        waiting, chars = {}, 0
+                if len(seen) > SEEN:
+                    seen.clear()
+        if waiting:
+            yield emit(waiting)
+
+    return docs.select(F.col(text).alias("__text")).mapInArrow(run, BAND_ROWS)
 
 
 def _split(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -186,59 +189,79 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return _split(docs, key, text).select(F.struct("id", "of", "line_no").alias("at"), F.unhex(F.md5("line")).alias("digest"))
 
 
-@lru_cache(maxsize=4)
-def _shingle_set(line: str) -> frozenset[str]:
-    line = line.lower()
-    return frozenset(line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1))
+def _shingle_set(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+
+
+def are_alike(left: list[str], right: list[str], threshold: float) -> np.ndarray:
+    """Whether the exact Jaccard similarity of the shingles of two lines reaches the threshold, for many pairs of lines.
+
+    Shingles are counted by 51 bits of their hashes, for up to PAIRS pairs in one sort. Only a collision could make such a
+    count differ from the exact one, so pairs within SLACK elements of the threshold are compared by the shingles
+    themselves."""
+    out = np.zeros(len(left), dtype=bool)
+    for at in range(0, len(left), PAIRS):
+        a, b = [x.lower() for x in left[at : at + PAIRS]], [x.lower() for x in right[at : at + PAIRS]]
+        n = len(a)
+        hashes, counts = shingle_hashes(a + b)
+        places = np.arange(2 * n, dtype=np.uint64)
+        # From the top: 12 bits of the pair, 51 of the hash, one of the side.
+        packed = hashes >> np.uint64(13) << np.uint64(1)
+        packed |= np.repeat((places % np.uint64(n) << np.uint64(52)) | (places // np.uint64(n)), counts)
+        packed.sort()
+        fresh = np.ones(len(packed), dtype=bool)
+        fresh[1:] = packed[1:] != packed[:-1]
+        packed = packed[fresh]
+        pair = (packed >> np.uint64(52)).astype(np.int64)
+        sizes = np.bincount(pair, minlength=n)
+        shared = np.bincount(pair[1:][packed[1:] ^ packed[:-1] == 1], minlength=n)
+        room = shared * (1 + threshold) - threshold * sizes
+        found = room >= 0
+        for i in np.flatnonzero(np.abs(room) <= SLACK):
+            x, y = _shingle_set(a[i]), _shingle_set(b[i])
+            k = len(x & y)
+            found[i] = k > 0 and k >= threshold * (len(x) + len(y) - k)
+        out[at : at + n] = found & (shared > 0)
+    return out
 
 
 def alike(threshold: float):
-    """Exact Jaccard similarity of two lines' shingles reaches the threshold."""
+    """The same as a condition on two columns."""
 
     @F.pandas_udf("boolean")
     def test(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(left, right, strict=True):
-            x, y = _shingle_set(a), _shingle_set(b)
-            both = len(x & y)
-            out.append(both > 0 and both >= threshold * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+        return pd.Series(are_alike(left.tolist(), right.tolist(), threshold))
 
     return lambda a, b: test(a, b)
 
 
-def elements():
+def line_elements(line: str) -> np.ndarray:
     """The hashes of a line's different shingles."""
-
-    @F.pandas_udf("array<long>")
-    def of(lines: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes([x.lower()])[0]).view(np.int64) for x in lines])
-
-    return lambda item: of(item)
+    return np.unique(shingle_hashes([line.lower()])[0])
 
 
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(digest, rep, class_size) of every distinct line with a word: the place of the line that stays for it."""
-    distinct = written(
-        lines(docs, key, text).groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "lines"
-    )
+    """(digest, rep, class_size) of the distinct lines with a word that are not alone in their class: the place of the line
+    that stays for them."""
 
     def fetch(wanted: DataFrame) -> DataFrame:
         found = _split(docs, key, text).select(F.xxhash64("line").alias("node"), F.col("line").alias("item"))
         found = found.join(small_side(written(wanted, "wanted")), "node")
         return found.select("node", F.unhex(F.md5("item")).alias("digest"), "item").dropDuplicates(["digest"])
 
-    linked = link(written(banded(docs, text), "banded"), fetch, alike(threshold), elements(), threshold)
-    # Only linked lines are grouped further; all others stand for themselves.
-    in_class = linked.join(distinct, "digest").select("digest", "root", "first", "n")
-    groups = in_class.groupBy("root").agg(F.min("first").alias("rep"), F.sum("n").alias("class_size"))
-    of_linked = in_class.select("digest", "root").join(groups, "root").select("digest", "rep", "class_size")
-    return written(
-        distinct.join(of_linked, "digest", "left").select(
-            "digest", F.coalesce("rep", "first").alias("rep"), F.coalesce("class_size", "n").alias("class_size")
-        ),
-        "line-classes",
+    linked = link(banded(docs, text), fetch, alike(threshold), by_text(line_elements), threshold)
+    distinct = lines(docs, key, text).groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    # Only lines that are repeated or linked are grouped further; all others stand for themselves.
+    several = written(
+        distinct.join(linked, "digest", "left")
+        .filter("n > 1 OR root IS NOT NULL")
+        .select("digest", F.coalesce("root", "digest").alias("root"), "first", "n"),
+        "several",
     )
+    groups = several.groupBy("root").agg(F.min("first").alias("rep"), F.sum("n").alias("class_size"))
+    classes = written(several.join(groups, "root").select("digest", "rep", "class_size"), "line-classes")
+    freed(several)
+    return classes
 
 
 def judged_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,24 +269,40 @@ def judged_lines(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_
     classes = line_classes(docs, threshold, key, text)
     return (
         lines(docs, key, text)
-        .join(classes, "digest")
-        .select("at", "rep", "class_size", (F.col("at") == F.col("rep")).alias("kept"))
+        .join(classes, "digest", "left")
+        .select(
+            "at",
+            F.coalesce("rep", "at").alias("rep"),
+            F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
+            F.coalesce(F.col("at") == F.col("rep"), F.lit(True)).alias("kept"),
+        )
     )
 
 
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of these numbers; null where there are none."""
+    out = []
+    for t, numbers in zip(texts, gone, strict=True):
+        if numbers is None:
+            out.append(None)
+        else:
+            drop = set(numbers.tolist())
+            out.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop))
+    return pd.Series(out, dtype=object)
+
+
 def without_repeats(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, each text without the lines that another one stands for; all columns stay."""
     gone = (
         judged_lines(docs, threshold, key, text)
         .filter("not kept")
         .groupBy(F.col("at.id").alias("__id"), F.col("at.of").alias("__of"))
-        .agg(F.collect_list("at.line_no").alias("__gone"))
-    )
-    parts = F.split(F.col(text), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    rebuilt: Column = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+        .agg(F.collect_set("at.line_no").alias("__gone"))
     )
+    # Only texts that lose a line go through Python.
+    left = _without(F.when(F.col("__gone").isNotNull(), F.col(text)), F.col("__gone"))
+    rebuilt: Column = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
     joined = docs.join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__of")), "left")
     return joined.select(*[(rebuilt.alias(text) if c == text else F.col(f"`{c}`")) for c in docs.columns])
 

@@ -3,61 +3,140 @@
 Items are distinct texts, each with a 64-bit node and a 128-bit digest (the node may, at very large scale, stand for two
 texts; links are between digests).
 
-First, within a bucket (items that share a band) every item is compared with the most central one, the item that shares
-most bands with others, and not with every other: the candidates are linear in the size of a bucket. This joins nearly
-all that belongs together.
-
-What it may miss is a link between two items neither of which is similar to the central one. So buckets that still hold
-items of several components are taken up again, exactly. In a bucket of a few items all pairs across components are
-verified. For larger ones, the items' elements are put in order of rarity; two items
-that are similar enough share one of their rarest elements (the prefix of a length that the threshold fixes). Pairs that
-meet there, of different components, are held against a bound on their overlap from the bits of a parity bitmap, which
-never rejects a similar pair, before they are made at all; those left are verified. Pairs inside a component are never
-needed.
+Rows (band, node) are dealt out by band and sorted, so that a task reads one bucket (the items that share a band) after
+the other and holds none whole. A bucket of a few items gives all its pairs. A larger one is crowded, and gives pairs with
+its most central item, the one that stands in most crowded buckets: its candidates are linear in its size. A band that
+many items of one input batch share does not meet in one task at all: what is over a few of them goes to the crowded
+members directly.
+
+What the central item may miss is a link between two items neither of which is similar to it. So crowded buckets that
+still hold items of several components are taken up again, exactly: the items' elements are put in order of rarity, two
+items that are similar enough share one of their rarest elements (the prefix of a length that the threshold fixes), and
+pairs of different components that meet there and in a bucket, and whose lengths and places leave room for the threshold,
+are verified.
+Pairs inside a component are never needed. The order of rarity comes from a histogram of hashed elements, whose size is
+fixed; any order gives the same links, a good one fewer pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import freed, written
 from tidemark.llm.graph import components
 
 #: Given a table of (node), the (node, digest, item) of those nodes, item being what is compared.
 Fetch = Callable[[DataFrame], DataFrame]
 #: Whether two items are similar, as a boolean column of their columns.
 Similar = Callable[[Column, Column], Column]
-#: The array of an item's distinct elements (64-bit hashes).
-Elements = Callable[[Column], Column]
-
-#: 64-bit words of the parity bitmap; items of a bucket that is small.
-WORDS, FEW = 16, 12
-
-
-def buckets(banded: DataFrame) -> DataFrame:
-    """(band, node) of all buckets with several nodes, from (node, bands array<long>). All but a few rows are alone in
-    their bucket, so both exchanges carry two numbers a row and nothing else."""
-    rows = banded.select("node", F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("node").alias("low"))
-    others = written(rows.join(least, "band").filter("node != low").distinct(), "others")
-    return others.select("band", "node").union(others.select("band", F.col("low").alias("node")).distinct())
-
-
-def central_pairs(held: DataFrame) -> DataFrame:
-    """(x, y): each node of a bucket with the bucket's most central one."""
-    sizes = held.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
-    central = held.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("score"))
-    scored = held.join(central, "node")
-    hubs = scored.groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub"))
-    return (
-        held.join(hubs, "band")
-        .select(F.col("hub.node").alias("x"), F.col("node").alias("y"))
-        .filter("x != y")
-        .distinct()
-    )
+#: The sorted distinct elements (64-bit hashes) of each item of a column.
+Elements = Callable[[pa.Array], list[np.ndarray]]
+
+#: Items of a bucket that gives all its pairs, at most. Elements are counted in 2 ** SLOT_BITS slots.
+FEW, SLOT_BITS = 16, 20
+ROWS = "band long, node long, over boolean"
+
+
+def band_rows(nodes: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
+    """Rows (band, node, over) of nodes and their [node, band] hashes; over marks those of a band that more than a few
+    nodes here share, from the second after the few on, which still show that the bucket is crowded."""
+    band, node = bands.reshape(-1), np.repeat(nodes, bands.shape[1])
+    order = np.argsort(band, kind="stable")
+    ordered = band[order]
+    first = np.ones(len(ordered), dtype=bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    starts = np.flatnonzero(first)
+    place = np.arange(len(ordered)) - np.repeat(starts, np.diff(np.append(starts, len(ordered))))
+    return pa.RecordBatch.from_arrays([pa.array(ordered), pa.array(node[order]), pa.array(place > FEW)], ["band", "node", "over"])
+
+
+def spread(banded: DataFrame) -> DataFrame:
+    """Rows (band, node, over) of (node, bands array<long>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bands = b.column(1)
+            counts = np.diff(np.asarray(bands.offsets))
+            held = counts > 0
+            if held.any():
+                width = int(counts[held][0])
+                yield band_rows(b.column(0).to_numpy()[held], bands.flatten().to_numpy().reshape(-1, width))
+
+    return banded.select("node", "bands").mapInArrow(run, ROWS)
+
+
+def _of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (band, node, over) sorted by band and node: (crowded, x, y), a pair of nodes, or a band and its member."""
+    triangles = {n: np.triu_indices(n, 1) for n in range(2, FEW + 1)}
+    held_band, held = None, np.zeros(0, dtype=np.int64)  # the last bucket so far: its first nodes, as far as they matter
+    large = False
+
+    def batch(crowded: bool, x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = np.concatenate(x), np.concatenate(y)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), crowded)), pa.array(x), pa.array(y)], ["crowded", "x", "y"])
+
+    def whole(sizes: np.ndarray, starts: np.ndarray, band: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = [], []
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
+            members = node[starts[sizes == n][:, None] + np.arange(n)]
+            i, j = triangles[n]
+            x.append(members[:, i].reshape(-1))
+            y.append(members[:, j].reshape(-1))
+        if x:
+            yield batch(False, x, y)
+        many = np.repeat(sizes > FEW, sizes)
+        if many.any():
+            yield batch(True, [band[many]], [node[many]])
+
+    for b in batches:
+        band, node, over = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if over.any():
+            yield batch(True, [band[over]], [node[over]])
+            band, node = band[~over], node[~over]
+        if not len(band):
+            continue
+        if held_band is not None and not large:
+            band, node = np.concatenate([np.full(len(held), held_band), band]), np.concatenate([held, node])
+        fresh = np.ones(len(band), dtype=bool)
+        fresh[1:] = (band[1:] != band[:-1]) | (node[1:] != node[:-1])
+        band, node = band[fresh], node[fresh]
+        if large and band[0] == held_band:
+            more = band == held_band
+            yield batch(True, [band[more]], [node[more]])
+            if more.all():
+                continue
+            band, node = band[~more], node[~more]
+        large = False
+        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        sizes = np.diff(np.append(starts, len(band)))
+        yield from whole(sizes[:-1], starts[:-1], band[: starts[-1]], node[: starts[-1]])
+        held_band, held = band[-1], node[starts[-1] :]
+        if len(held) > FEW:
+            yield batch(True, [np.full(len(held), held_band)], [held])
+            large = True
+    if held_band is not None and not large:
+        yield from whole(np.array([len(held)]), np.array([0]), np.full(len(held), held_band), held)
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """(crowded, x, y): pairs of nodes of the buckets of a few, and (band, node) of the crowded ones, from (band, node,
+    over)."""
+    to = F.when(F.col("over"), F.xxhash64("node")).otherwise(F.col("band"))
+    dealt = rows.withColumn("to", to).repartition("to").select("band", "node", "over").sortWithinPartitions("band", "node")
+    return dealt.mapInArrow(_of_buckets, "crowded boolean, x long, y long")
+
+
+def central_pairs(members: DataFrame) -> DataFrame:
+    """(x, y), x < y: each node of the crowded (band, node) with the most central node of its band."""
+    score = members.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
+    hubs = members.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub"))
+    hub = F.col("hub.node")
+    return members.join(hubs, "band").filter(hub != F.col("node")).select(F.least(hub, "node").alias("x"), F.greatest(hub, "node").alias("y"))
 
 
 def overlap(threshold: float) -> Similar:
@@ -71,82 +150,134 @@ def overlap(threshold: float) -> Similar:
 
 
 def verified(pairs: DataFrame, items: DataFrame, alike: Similar) -> DataFrame:
-    """Links (a, b, digest_a, digest_b) among pairs (x, y) whose items are similar."""
-    left = items.select(F.col("node").alias("x"), F.col("digest").alias("digest_a"), F.col("item").alias("left_item"))
-    right = items.select(F.col("node").alias("y"), F.col("digest").alias("digest_b"), F.col("item").alias("right_item"))
-    return (
-        pairs.join(right, "y")
-        .join(left, "x")
-        .withColumn("alike", alike(F.col("left_item"), F.col("right_item")))
-        .filter("alike")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"), "digest_a", "digest_b")
-    )
+    """Links (a, b) of digests among pairs (x, y) of nodes whose items are similar."""
+    left = items.select(F.col("node").alias("x"), F.col("digest").alias("a"), F.col("item").alias("left_item"))
+    right = items.select(F.col("node").alias("y"), F.col("digest").alias("b"), F.col("item").alias("right_item"))
+    return pairs.join(right, "y").join(left, "x").withColumn("alike", alike(F.col("left_item"), F.col("right_item"))).filter("alike").select("a", "b")
+
+
+def histogram(items: DataFrame, elements: Elements) -> np.ndarray:
+    """How often elements of each slot occur, in an array of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for b in batches:
+            for e in elements(b.column(0)):
+                np.add.at(counts, (e >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        slots = np.flatnonzero(counts)
+        for at in range(0, len(slots), 50_000):
+            part = slots[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["slot", "n"])
+
+    found = items.select("item").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, dtype=np.float32)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
 def prefixes(items: DataFrame, elements: Elements, threshold: float) -> DataFrame:
-    """(node, root, n, rare, key, w0, w1, ...): a row for each of the rarest elements of an item, as many as the threshold
-    asks for, of those that any other item has; with the item's number of elements, all its rare ones in order of rarity,
-    and its parity bitmap."""
-    keyed = items.select("node", "root", F.explode(elements(F.col("item"))).alias("key"))
-    common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    word = F.expr(f"cast(shiftrightunsigned(key, 6) & {WORDS - 1} as int)")
-    gathered = (
-        keyed.join(common, "key", "left")
-        .groupBy("node", "root")
-        .agg(
-            F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "key"))).alias("ordered"),
-            *[F.coalesce(F.bit_xor(F.when(word == w, bit)), F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)],
-        )
-    )
-    n = F.size("ordered")
-    length = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
-    bits = [f"w{w}" for w in range(WORDS)]
-    shared = F.filter(F.slice("ordered", F.lit(1), length), lambda e: e["df"] > 1)
-    rare = F.transform(shared, lambda e: e["key"])
-    return gathered.select("node", "root", n.alias("n"), rare.alias("rare"), *bits).select("*", F.explode("rare").alias("key"))
-
-
-def across(rare: DataFrame, threshold: float) -> DataFrame:
-    """(x, y): pairs of different components that share a rare element and may reach the threshold."""
-    names = ["node", "root", "n", "rare", *[f"w{w}" for w in range(WORDS)]]
-    left = rare.select("key", *[F.col(c).alias(f"x_{c}") for c in names])
-    right = rare.select("key", *[F.col(c).alias(f"y_{c}") for c in names])
-    apart = sum((F.bit_count(F.col(f"x_w{w}").bitwiseXOR(F.col(f"y_w{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))))
-    total = F.col("x_n") + F.col("y_n")
+    """(key, node, root, n, at): a row for each of the rarest elements of an item (node, root, item), as many as the
+    threshold asks for, but for those that no other item has; with the item's number of elements and the element's place
+    among them. The order is that of slot counts, then of hashes."""
+    counts = items.sparkSession.sparkContext.broadcast(histogram(items, elements))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        for b in batches:
+            key, place, size = [], [], []
+            for e in elements(b.column(2)):
+                seen = often[(e >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                order = np.lexsort((e, seen))[: len(e) - int(np.ceil(threshold * len(e) - 1e-9)) + 1]
+                at = np.flatnonzero(seen[order] > 1)
+                key.append(e[order[at]])
+                place.append(at)
+                size.append(len(e))
+            repeats = np.array([len(k) for k in key])
+            index = pa.array(np.repeat(np.arange(len(key)), repeats))
+            columns = [
+                pa.array(np.concatenate(key).view(np.int64)), b.column(0).take(index), b.column(1).take(index),
+                pa.array(np.repeat(np.array(size, dtype=np.int32), repeats)), pa.array(np.concatenate(place).astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "root", "n", "at"])
+
+    return items.select("node", "root", "item").mapInArrow(run, "key long, node long, root long, n int, at int")
+
+
+def across(rare: DataFrame, still: DataFrame, threshold: float) -> DataFrame:
+    """(x, y): pairs of different components that share a rare element and an open bucket (still: node, root, bands) and may
+    reach the threshold."""
+    rows = rare.join(still.select("node", "bands"), "node")
+    x, y = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("key", "node", "root", "n", "at", "bands")]) for side in "xy")
+    needed = (F.col("x_n") + F.col("y_n")) * F.lit(threshold / (1 + threshold)) - 1e-6
     may = (
-        (F.col("x_node") < F.col("y_node"))
+        (F.col("x_key") == F.col("y_key"))
+        & (F.col("x_node") < F.col("y_node"))
         & (F.col("x_root") != F.col("y_root"))
-        & (F.least("x_n", "y_n") >= F.lit(threshold - 1e-9) * F.greatest("x_n", "y_n"))
-        # Elements that only one of the two has number as many as differing bits, at least.
-        & (apart <= total * ((1 - threshold) / (1 + threshold)) + 1e-6)
-        # A pair that shares several rare elements is made at the first.
-        & (F.get(F.array_intersect("x_rare", "y_rare"), 0) == left.key)
+        # At the first element that two items share, all that they share is still to come.
+        & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= needed)
+        & F.arrays_overlap("x_bands", "y_bands")
     )
-    return left.join(right, (left.key == right.key) & may).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
+    return x.join(y, may).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
 
 
-def within_few(rest: DataFrame) -> DataFrame:
-    """(x, y): pairs of different components in the buckets (band, node, root) of a few items."""
-    left = rest.select("band", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    right = rest.select("band", F.col("node").alias("y"), F.col("root").alias("y_root"))
-    return left.join(right, "band").filter("x < y AND x_root != y_root").select("x", "y").distinct()
+def _open_nodes(members: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root, bands) of the crowded buckets that hold several components; a node has some tens of bands at most."""
+    of_node = items.select("node", "digest").join(roots, "digest", "left").select("node", F.xxhash64(F.coalesce("root", "digest")).alias("root"))
+    held = members.join(of_node, "node")
+    several = held.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
+    return held.join(several, "band").groupBy("node", "root").agg(F.collect_list("band").alias("bands"))
+
+
+def link(rows: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float) -> DataFrame:
+    """(digest, root) for every digest that is linked to another; root is the least digest of its component. rows are
+    (band, node, over)."""
+    found = written(met(rows), "met")
+    members = found.filter("crowded").select(F.col("x").alias("band"), F.col("y").alias("node")).distinct()
+    few = found.filter("not crowded").select("x", "y")
+    is_crowded = found.filter("crowded").limit(1).count() > 0
+    if is_crowded:
+        members = written(members, "members")
+        few = few.union(central_pairs(members))
+    pairs = written(few.distinct(), "pairs")
+    items = written(fetch(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()), "items")
+    links = written(verified(pairs, items, alike), "links")
+    roots = _named(components(links))
+    if is_crowded:
+        roots = written(roots, "roots")
+        still = written(_open_nodes(members, items, roots), "open")
+        if still.limit(1).count():
+            rare = written(prefixes(items.join(still.select("node", "root"), "node"), elements, threshold), "rare")
+            more = written(verified(across(rare, still, threshold), items, alike), "more")
+            roots = _merged(roots, more)
+            freed(rare)
+        freed(still, members)
+    freed(found, pairs, items, links)
+    return roots
+
+
+def _named(components: DataFrame) -> DataFrame:
+    return components.withColumnRenamed("node", "digest")
+
+
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots after more links: components of the components."""
+    ends = more.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    alone = ends.join(roots, "digest", "left_anti").select("digest", F.col("digest").alias("root"))
+    known = written(roots.unionByName(alone), "known")
+    a, b = (known.select(F.col("digest").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab")
+    edges = more.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    over = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return known.join(over, "root", "left").select("digest", F.coalesce("top", "root").alias("root"))
+
+
+def as_lists(column: pa.Array) -> list[np.ndarray]:
+    """Elements of items that are lists of sorted distinct 64-bit keys already."""
+    flat, at = column.flatten().to_numpy().view(np.uint64), np.asarray(column.offsets)
+    at = at - at[0]
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def by_text(elements: Callable[[str], np.ndarray]) -> Elements:
+    return lambda column: [elements(t) for t in column.to_pylist()]
 
 
-def link(banded: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float) -> DataFrame:
-    """(digest, root) for every digest that is linked to another; root is the least digest of its component."""
-    held = buckets(banded)
-    items = written(fetch(held.select("node").distinct()), "items")
-    first = written(central_pairs(held), "pairs")
-    links = written(verified(first, items, alike), "links")
-    joined = held.join(components(links.select("a", "b")), "node", "left").select(
-        "band", "node", F.coalesce("root", "node").alias("root")
-    )
-    sizes = joined.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    rest = written(joined.join(sizes.filter("low != high").select("band", "size"), "band"), "open")
-    crowded = rest.filter(F.col("size") > FEW).select("node", "root").distinct()
-    rare = written(prefixes(items.join(crowded, "node"), elements, threshold), "rare")
-    pairs = across(rare, threshold).union(within_few(rest.filter(F.col("size") <= FEW))).distinct()
-    more = verified(written(pairs.join(first, ["x", "y"], "left_anti"), "across"), items, alike)
-    edges = links.union(more).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
-    return components(edges).withColumnRenamed("node", "digest")

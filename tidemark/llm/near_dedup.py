@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, small_side, text_or_empty, written
-from tidemark.llm.lsh import link, overlap
+from tidemark.llm.common import small_side, text_or_empty, written
+from tidemark.llm.lsh import as_lists, link, overlap, spread
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 24 bands of 4 registers find a pair of similarity 0.8 but for 3 in a million.
@@ -183,7 +183,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", bands:
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return bounded_batches(_keyed(docs, key, text)).mapInPandas(run, f"id {kind}, node long, digest binary, n long, bands array<long>")
+    return _keyed(docs, key, text).mapInPandas(run, f"id {kind}, node long, digest binary, n long, bands array<long>")
 
 
 def keys(rows: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def keys(rows: DataFrame) -> DataFrame:
                 found = [multiset_keys(shingles(t, hashes)).view(np.int64) for t in part["body"]]
                 yield pd.DataFrame({"node": part["node"].to_numpy(), "digest": part["digest"].to_numpy(), "item": found})
 
-    return bounded_batches(rows.select("node", "digest", "body")).mapInPandas(run, "node long, digest binary, item array<long>")
+    return rows.select("node", "digest", "body").mapInPandas(run, "node long, digest binary, item array<long>")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,7 +217,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
         same = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("wanted"))
         return keys(texts.join(chosen, same)).dropDuplicates(["digest"])
 
-    linked = link(distinct.select("node", "bands"), fetch, overlap(threshold), lambda item: item, threshold)
+    linked = link(spread(distinct), fetch, overlap(threshold), as_lists, threshold)
     rooted = distinct.join(linked, "digest", "left").select("digest", "id", "copies", F.coalesce("root", "digest").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     of_digest = rooted.select("digest", "root").join(groups, "root").select("digest", "class_id", "class_size")

@@ -7,19 +7,24 @@ dictionaries.
 
 Toxic documents are mostly ordinary text, so the toxic dictionary is trained on their distinctive passages: runs of
 character 5-grams found in several toxic documents, in several contexts (a group of near copies has one), and far more
-often than in ordinary ones. Its content is put after that of the ordinary dictionary, and filler of the same length
-after the ordinary one, so that both compress ordinary text alike and the difference comes from the toxic passages.
+often than in ordinary ones. Its size follows what is found. Its content is put after that of the ordinary dictionary, and
+filler of the same length after the ordinary one, so that both compress ordinary text alike and the difference comes from
+the toxic passages; the entropy tables that training puts first are left out for the same reason.
 
-Labels, language, source and identifiers are no inputs of a score. The dictionaries and the curve come from a bounded
-sample of labelled documents (FIT_DOCS; of those over FIT_CHARS characters none); scoring reads every whole text.
+Labels, language, source and identifiers are no inputs of a score. The dictionaries and the curve come from a sample of
+labelled documents that is bounded in number (FIT_DOCS; of ordinary ones, ORDINARY_DOCS make a dictionary) and read whole,
+in one task; scoring reads every whole text.
 
 Defined results: null and empty texts have no window and get the score of a text without any gain; repeated rows give
-repeated rows; an empty table gives an empty table; without both kinds of labelled documents every score is the share of
-toxic ones among the labelled (0 without any); further columns are ignored, whatever their names.
+repeated rows; an empty table gives an empty table; without labelled documents of both kinds, in the part that the
+dictionaries come from and in the other, every score is the share of toxic ones among the labelled (0 without any); further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,11 +35,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, crc_remainder, text_or_empty
+from tidemark.llm.common import crc_remainder, with_found
 
 WINDOW, STEP, LEVEL = 64, 32, 7
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
-FIT_DOCS, FIT_CHARS, ORDINARY_WINDOWS, SEED = 9_000, 20_000, 40_000, 3
+#: Size of the ordinary dictionary, and the least of the toxic one.
+ORDINARY_BYTES, LEAST_TOXIC_BYTES = 16_384, 1_024
+#: Labelled documents that are learnt from, about, and how many of the ordinary ones make a dictionary.
+FIT_DOCS, ORDINARY_DOCS, SEED = 9_000, 800, 3
 #: Least share of toxic documents (and least number) with a distinctive 5-gram, and least log-odds against others.
 GRAM, LEAST_SHARE, LEAST_DOCS, LEAST_ODDS = 5, 0.012, 4, 2.0
 #: How far a passage reaches beyond a 5-gram to the ends of its word.
@@ -175,21 +182,21 @@ def _content(size: int, samples: list[bytes], segment: int) -> bytes:
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary contents."""
-    lower = lambda texts: [t.lower().encode("utf-8", "surrogatepass") for t in sorted(set(texts))]
+    """(ordinary, toxic) dictionary contents, from texts of which each kind has a window."""
+    lower = lambda texts: [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     toxic_data, ordinary_data = lower(toxic), lower(ordinary)
     marks = distinctive(toxic_data, ordinary_data)
     found = [p for d in toxic_data for p in passages(d, marks)]
     if not found:  # too few documents to compare: their whole windows
-        found = [w for t in sorted(set(toxic)) for w in windows(t)]
-    plain = [w for t in sorted(set(ordinary)) for w in windows(t)]
-    rng = np.random.default_rng(SEED)
-    if len(plain) > ORDINARY_WINDOWS:
-        plain = [plain[i] for i in rng.choice(len(plain), ORDINARY_WINDOWS, replace=False)]
+        found = [w for t in toxic for w in windows(t)]
+    chosen = np.random.default_rng(SEED).permutation(len(ordinary))[:ORDINARY_DOCS]
+    plain = [w for i in sorted(chosen.tolist()) for w in windows(ordinary[i])]
     joined = [b"".join(found[i : i + 4]) for i in range(0, len(found), 4)]
     joined *= max(1, 2000 // len(joined))
     base = _content(ORDINARY_BYTES, plain * max(1, 3000 // len(plain)), 32)
-    mark = _content(TOXIC_BYTES, joined, SEGMENT)
+    often = [p for p, n in Counter(found).items() if n >= LEAST_DOCS]
+    mark = _content(max(LEAST_TOXIC_BYTES, 256 + 2 * sum(map(len, often))), joined, SEGMENT)
     filler = (b"".join(plain) * (1 + len(mark) // max(1, sum(map(len, plain)))))[: len(mark)]
     return base + filler, base + mark
 
@@ -207,6 +214,28 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndarra
     return mean, spread, w
 
 
+def learned(texts: list[str], toxic: np.ndarray) -> Model:
+    """Dictionaries and curve from labelled texts."""
+    first = {t: i for i, t in reversed(list(enumerate(texts))) if t}
+    texts = sorted(first, key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t))
+    y = np.array([toxic[first[t]] for t in texts], dtype=float)
+    held = np.arange(len(texts)) % 3 == 0
+    if y[held].sum() < 5 or y[~held].sum() < 5:
+        held[:] = True
+        learn = held
+    else:
+        learn = ~held
+    if any(not part.any() or part.all() for part in (y[learn], y[held])):
+        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
+        flat = (0.0,) * N_FEATURES
+        return Model(b"", b"", flat, (1.0,) * N_FEATURES, (*flat, float(np.log(share / (1 - share)))))
+    of = lambda kind: [t for t, use, k in zip(texts, learn, y, strict=True) if use and k == kind]
+    ordinary, marked = train_dictionaries(of(1), of(0))
+    x = np.array([features(t, ordinary, marked) for t, use in zip(texts, held, strict=True) if use])
+    mean, spread, weights = fit_curve(x, y[held])
+    return Model(ordinary, marked, tuple(mean.tolist()), tuple(spread.tolist()), tuple(weights.tolist()))
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, key: str = "doc_id", text: str = "text", label: str = "toxic"
 ) -> Model:
@@ -218,48 +247,38 @@ def fit(
         .groupBy(F.col(key).alias("__of"))
         .agg(F.max(label).alias("__toxic"))
     )
-    # The sample is bounded by fit_docs, so its side may be broadcast; so is what is collected.
-    rows = (
-        docs.join(F.broadcast(chosen), F.col(key) == F.col("__of"))
-        .filter(F.length(F.col(text)).between(1, FIT_CHARS))
-        .select(F.col(text).alias("body"), F.col("__toxic").alias("toxic"), F.crc32(F.col(text).cast("binary")).alias("at"))
-        .toPandas()
-    )
-    rows = rows.drop_duplicates("body").sort_values(["at", "body"], ignore_index=True)
-    y = rows["toxic"].to_numpy(dtype=float) if len(rows) else np.zeros(0)
-    if not y.any() or y.all():
-        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
-        flat = (0.0,) * N_FEATURES
-        return Model(b"", b"", flat, (1.0,) * N_FEATURES, (*flat, float(np.log(share / (1 - share)))))
-    held = rows.index.to_numpy() % 3 == 0
-    if y[held].sum() < 5 or y[~held].sum() < 5:
-        held = np.ones(len(rows), dtype=bool)
-        learn = held
-    else:
-        learn = ~held
-    texts = rows["body"].to_numpy()
-    ordinary, toxic = train_dictionaries(list(texts[learn & (y == 1)]), list(texts[learn & (y == 0)]))
-    x = np.array([features(t, ordinary, toxic) for t in texts[held]])
-    mean, spread, weights = fit_curve(x, y[held])
-    return Model(ordinary, toxic, tuple(mean.tolist()), tuple(spread.tolist()), tuple(weights.tolist()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b["body"].tolist()
+            toxic += b["toxic"].tolist()
+        m = learned(texts, np.array(toxic))
+        yield pd.DataFrame([(m.ordinary, m.toxic, list(m.mean), list(m.spread), list(m.weights))], columns=["o", "t", "m", "s", "w"])
+
+    # The sample is bounded by fit_docs, so its side may be broadcast, and one task learns from it.
+    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__of")).select(F.col(text).alias("body"), F.col("__toxic").alias("toxic"))
+    made = "o binary, t binary, m array<double>, s array<double>, w array<double>"
+    r = rows.filter("body IS NOT NULL").repartition(1).mapInPandas(run, made).first()
+    return Model(bytes(r.o), bytes(r.t), tuple(r.m), tuple(r.s), tuple(r.w)) if r else learned([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute():
         mean, spread, w = np.array(model.mean), np.array(model.spread), np.array(model.weights)
-        for b in batches:
+
+        def of(texts: list[str]) -> list:
+            x = np.zeros((len(texts), N_FEATURES))
             if model.toxic:
-                x = np.array([features(t, model.ordinary, model.toxic) for t in b["__text"]]).reshape(len(b), N_FEATURES)
-            else:
-                x = np.zeros((len(b), N_FEATURES))
-            logit = np.clip(((x - mean) / spread) @ w[:-1] + w[-1], -30, 30)
-            yield pd.DataFrame({key: b[key], "score": 1 / (1 + np.exp(-logit))})
-
-    kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key), text_or_empty(text).alias("__text"))
-    return bounded_batches(source).mapInPandas(run, f"`{key}` {kind}, score double")
+                for i, t in enumerate(texts):
+                    x[i] = features(t, model.ordinary, model.toxic)
+            return [1 / (1 + np.exp(-np.clip(((x - mean) / spread) @ w[:-1] + w[-1], -30, 30)))]
+
+        return of
+
+    return with_found(docs.select(F.col(key), F.col(text)), text, "score double", compute).select(F.col(key), "__found.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
