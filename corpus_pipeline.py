@@ -1,4 +1,14 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again as the documents of the next one."""
+"""A corpus pipeline of five stages, each written as Parquet and read again as the documents of the next one.
+
+Language ID and quality rules judge each row where it is read: no row is shuffled or joined. The two deduplicating stages
+judge rows by (doc_id, hash of text), and only what they drop is joined back.
+
+Defined results, for every stage: a null or empty text has no language and is rejected by the first stage (by the second
+one, too, as it has no words); a null in any other column changes nothing; rows that share an identifier are judged each
+by its own text; rows repeated whole get the same verdict in the first three stages, and one of them stays in the fourth;
+of ties, the row with the least identifier (nulls first), then the least hash, stays; texts of any length are read whole;
+an empty table gives an empty table; further columns pass through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -7,41 +17,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, line_dedup, near_dedup, packing, quality
-from tidemark.llm.common import written
+from tidemark.llm.common import freed, small_side, written
 
 #: Documents whose language is less certain than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose (doc_id, text) is among those of kept: rows that share an identifier are judged each."""
-    chosen = kept.select(F.col("doc_id").alias("__id"), F.col("__of")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__of"))
-    return docs.join(chosen, same, "left_semi")
-
-
-def _marked(docs: DataFrame) -> DataFrame:
-    """One identifier for a row: its doc_id and the hash of its text."""
-    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("of")).alias("at"), "text")
-
-
-def _of(judged: DataFrame) -> DataFrame:
-    return judged.select(F.col("at.doc_id").alias("doc_id"), F.col("at.of").alias("__of"))
+def _where(found: DataFrame, condition: str, docs: DataFrame) -> DataFrame:
+    """The rows of docs, which found has with a column __found, for which the condition holds."""
+    return found.filter(condition).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or of no certain language, are rejected."""
     model = language.fit(language.learnable(docs), public_tokenizers.path(language.VOCABULARY))
-    judged = language.predict(_marked(docs), model, key="at")
-    known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return _only(docs, _of(judged.filter(known)))
+    found = language.found_languages(docs, model)
+    return _where(found, f"__found.lang_pred <> '{language.UNDETERMINED}' AND __found.score >= {LEAST_LANGUAGE_SCORE}", docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that fail the base rules or that the isolation forest finds anomalous are rejected."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.judge(_marked(docs), quality.fit(docs, labels), key="at")
-    return _only(docs, _of(judged.filter("kept")))
+    return _where(quality.judged(docs, quality.fit(docs, labels)), "__found.kept", docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +50,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each class the document with the least identifier stays, once if its row is repeated."""
-    judged = near_dedup.classes(_marked(docs), key="at")
-    kept = written(_of(judged.filter("kept")).groupBy("doc_id", "__of").agg(F.count(F.lit(1)).alias("n")), "kept")
+    at = F.struct(F.col("doc_id"), F.xxhash64("text").alias("of"))
+    judged = near_dedup.classes(docs.select(at.alias("at"), "text"), key="at")
+    by_row = judged.groupBy("at").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    verdicts = written(by_row.filter("NOT kept OR n > 1").select(F.col("at.doc_id").alias("__id"), F.col("at.of").alias("__of"), "kept"), "verdicts")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__of"))
+    stay = docs.join(small_side(verdicts.select("__id", "__of")), same, "left_anti")
     # Only repeated rows are shuffled with their texts.
-    repeated = _only(docs, kept.filter("n > 1")).withColumn("__of", F.xxhash64("text")).dropDuplicates(["doc_id", "__of"])
-    return _only(docs, kept.filter("n = 1")).unionByName(repeated.drop("__of"))
+    repeated = docs.join(small_side(verdicts.filter("kept").select("__id", "__of")), same).dropDuplicates(["__id", "__of"])
+    return stay.unionByName(repeated.drop("__id", "__of"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,14 +73,14 @@ STAGES = [
     ("near_dedup", dedup_documents),
     ("packing", pack),
 ]
-#: SQL cannot express the models and the signatures; a brute-force version is in the tests.
+#: SQL cannot express the models and the signatures; the tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs, name)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+        freed(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
