@@ -143,7 +143,7 @@ def test_licenses(spark, duck, clashing, empty):
         (4, None),
     ]
     out = {r.doc_id: tuple(r)[1:] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
-    assert out == {1: ("MIT", 0, True), 2: ("CC-BY-NC-4.0,MIT", 2, False), 3: ("", 0, False), 4: ("", 0, False)}
+    assert out == {1: ("MIT", 1, True), 2: ("CC-BY-NC-4.0,MIT", 2, False), 3: ("", 0, False), 4: ("", 0, False)}
     assert licenses.scan(clashing, known).count() == len(ROWS) and licenses.scan(empty, known).count() == 0
     same(licenses.query(spark, SF), duck.sql(licenses.ORACLE))
 

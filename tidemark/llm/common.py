@@ -111,10 +111,19 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def with_found(docs: DataFrame, text: str, fields: str, compute: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
-    """docs with one more column, __found, a struct of the fields ('name type, ...'), computed from whole texts (null:
-    empty). compute() is called once a task and gives the function from texts to the columns of the struct. All columns
-    pass through untouched, whatever their names."""
+def free_name(docs: DataFrame, name: str = "__found") -> str:
+    """A name that no column of docs has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def with_found(
+    docs: DataFrame, text: str, fields: str, compute: Callable[[], Callable[[list[str]], list]], name: str = "__found"
+) -> DataFrame:
+    """docs with one more column, a struct of the fields ('name type, ...') computed from whole texts (null: empty).
+    compute() is called once a task and gives the function from texts to the columns of the struct. All columns pass
+    through untouched, whatever their names; that of the struct must be a free one."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], text_or_empty(f"`{text}`").alias("text"))
     made = T.StructType.fromDDL(fields)
@@ -132,7 +141,7 @@ def with_found(docs: DataFrame, text: str, fields: str, compute: Callable[[], Ca
                 found = [x if isinstance(x, pa.Array) else pa.array(x) for x in of(b.column(len(names)).to_pylist())]
                 yield pa.RecordBatch.from_arrays(kept + found, names + places)
 
-    found = F.struct(*[F.col(n).alias(f.name) for n, f in zip(places, made, strict=True)]).alias("__found")
+    found = F.struct(*[F.col(n).alias(f.name) for n, f in zip(places, made, strict=True)]).alias(name)
     return source.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], found)
 
 

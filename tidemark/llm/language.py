@@ -375,7 +375,7 @@ def fit(
     return Model(vocabulary, languages, np.array([shares[x] / total for x in languages]), pieces)
 
 
-def found_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def found_languages(docs: DataFrame, model: Model, text: str = "text", name: str = "__found") -> DataFrame:
     """docs with __found (lang_pred, score) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -383,7 +383,7 @@ def found_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFr
         scorer = _scorer(sent.value)
         return lambda texts: scorer.score(texts)
 
-    return with_found(docs, text, "lang_pred string, score double", compute)
+    return with_found(docs, text, "lang_pred string, score double", compute, name)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

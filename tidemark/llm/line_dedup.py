@@ -27,9 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import freed, slices, small_side, written
-from tidemark.llm.lsh import ROWS as BAND_ROWS
-from tidemark.llm.lsh import band_rows, by_text, link
+from tidemark.llm.common import free_name, freed, slices, small_side, written
+from tidemark.llm.lsh import BLOCKS, Dealer, by_text, link, n_parts, sketches
 from tidemark.llm.near_dedup import mix
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -39,8 +38,9 @@ BANDS, ROWS = 18, 6
 #: Lines of fewer distinct shingles get a function for each register, those of as many or more one permutation, and those
 #: between the two both kinds: similar lines differ in the number of distinct shingles by a fifth at most.
 FULL_BELOW, SPARSE_FROM = 100, 80
-#: Characters that are hashed together; lines a task remembers.
-CHUNK, SEEN = 1 << 18, 500_000
+#: Characters that are hashed together; lines a task remembers; cells in which
+#: different shingles are counted.
+CHUNK, SEEN, CELLS = 1 << 18, 500_000, 512
 #: Pairs that are compared together (4,096 at most); how close to the threshold hashes are not enough.
 PAIRS, SLACK = 500, 4.0
 _BASE = np.uint64(0x100000001B3)
@@ -55,15 +55,16 @@ def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     counts = np.maximum(lengths - size + 1, 0)
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), counts
-    h = codes[:n].copy()
-    for k in range(1, size):
-        h *= _BASE
+    h = codes[:n] * _BASE
+    for k in range(1, size - 1):
         h += codes[k : k + n]
-    starts = np.cumsum(lengths) - lengths
-    inside = np.zeros(len(codes) + 1, dtype=np.int8)
-    np.add.at(inside, starts[counts > 0], 1)
-    np.add.at(inside, (starts + counts)[counts > 0], -1)
-    return mix(h[np.cumsum(inside[:n]).astype(bool)]), counts
+        h *= _BASE
+    h += codes[size - 1 :]
+    # No shingle starts in the last size - 1 characters of a line.
+    inside, ends = np.ones(len(codes), dtype=bool), np.cumsum(lengths)
+    for k in range(1, size):
+        inside[(ends - k)[lengths >= k]] = False
+    return mix(h[inside[:n]]), counts
 
 
 @lru_cache(maxsize=4)
@@ -127,34 +128,50 @@ def distinct_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.bincount((packed[first] >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(counts))
 
 
-def line_bands(lines: list[str], nodes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, [line, band]) of lines with a shingle; a line between the two kinds stands twice."""
+def at_least_distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A lower bound of the same: how many of CELLS cells the shingles of a line fall into."""
+    held = np.zeros(len(counts) * CELLS, dtype=bool)
+    held[np.repeat(np.arange(len(counts), dtype=np.int64) * CELLS, counts) + (hashes >> np.uint64(64 - 9)).astype(np.int64)] = True
+    return np.count_nonzero(held.reshape(len(counts), CELLS), axis=1)
+
+
+def line_bands(
+    lines: list[str], nodes: np.ndarray, bands: int = BANDS, rows: int = ROWS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, [line, band], sketches) of lines with a shingle; a line between the two kinds stands twice."""
     hashes, counts = shingle_hashes(lines)
     distinct = counts.copy()
-    long = counts >= SPARSE_FROM
-    if long.any():
-        distinct[long] = distinct_counts(*_some(hashes, counts, long))
-    out_nodes, out_bands = [np.zeros(0, np.int64)], [np.zeros((0, bands), np.int64)]
+    unsure = counts >= SPARSE_FROM
+    if unsure.any():
+        distinct[unsure] = at_least_distinct(*_some(hashes, counts, unsure))
+        unsure[distinct >= FULL_BELOW] = False  # surely that many
+    if unsure.any():
+        distinct[unsure] = distinct_counts(*_some(hashes, counts, unsure))
+    out_nodes, out_bands, out_sketches = [np.zeros(0, np.int64)], [np.zeros((0, bands), np.int64)], [np.zeros(0, np.int64)]
     for kind, chosen, make in (
         (0, (distinct > 0) & (distinct < FULL_BELOW), full_signatures),
         (1, distinct >= SPARSE_FROM, sparse_signatures),
     ):
         if chosen.any():
+            signature = make(*_some(hashes, counts, chosen), bands * rows)
             out_nodes.append(nodes[chosen])
-            out_bands.append(bands_of(make(*_some(hashes, counts, chosen), bands * rows), kind, bands, rows))
-    return np.concatenate(out_nodes), np.concatenate(out_bands)
+            out_bands.append(bands_of(signature, kind, bands, rows))
+            out_sketches.append(sketches(signature, kind))
+    return np.concatenate(out_nodes), np.concatenate(out_bands), np.concatenate(out_sketches)
 
 
 def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(band, node, over) of lines; lines that repeat in a task mostly stand once."""
-
-    def emit(lines: dict[int, str]) -> pa.RecordBatch:
-        return band_rows(*line_bands(list(lines.values()), np.array(list(lines), dtype=np.int64), bands, rows))
+    """Blocks of the rows of lines; lines that repeat in a task mostly stand once."""
+    parts = n_parts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         waiting: dict[int, str] = {}
-        chars = 0
+        chars, dealer = 0, Dealer(parts)
+
+        def deal() -> Iterator[pa.RecordBatch]:
+            yield from dealer.add(*line_bands(list(waiting.values()), np.array(list(waiting), dtype=np.int64), bands, rows))
+
         for batch in batches:
             for b in slices(batch, 0):
                 for t in b.column(0).to_pylist():
@@ -168,14 +185,14 @@ def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
                             waiting[node] = line.lower()
                             chars += len(line)
                     if chars >= CHUNK:
-                        yield emit(waiting)
+                        yield from deal()
                         waiting, chars = {}, 0
                 if len(seen) > SEEN:
                     seen.clear()
-        if waiting:
-            yield emit(waiting)
+        yield from deal()
+        yield from dealer.flush()
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, BAND_ROWS)
+    return docs.select(F.col(text).alias("__text")).mapInArrow(run, BLOCKS)
 
 
 def _split(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -294,16 +311,17 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
 
 def without_repeats(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, each text without the lines that another one stands for; all columns stay."""
+    of_id, of_text, numbers = (free_name(docs, n) for n in ("__id", "__of", "__gone"))
     gone = (
         judged_lines(docs, threshold, key, text)
         .filter("not kept")
-        .groupBy(F.col("at.id").alias("__id"), F.col("at.of").alias("__of"))
-        .agg(F.collect_set("at.line_no").alias("__gone"))
+        .groupBy(F.col("at.id").alias(of_id), F.col("at.of").alias(of_text))
+        .agg(F.collect_set("at.line_no").alias(numbers))
     )
     # Only texts that lose a line go through Python.
-    left = _without(F.when(F.col("__gone").isNotNull(), F.col(text)), F.col("__gone"))
-    rebuilt: Column = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
-    joined = docs.join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__of")), "left")
+    left = _without(F.when(F.col(numbers).isNotNull(), F.col(text)), F.col(numbers))
+    rebuilt: Column = F.when(F.col(numbers).isNull(), F.col(text)).otherwise(left)
+    joined = docs.join(gone, F.col(key).eqNullSafe(F.col(of_id)) & (F.xxhash64(text) == F.col(of_text)), "left")
     return joined.select(*[(rebuilt.alias(text) if c == text else F.col(f"`{c}`")) for c in docs.columns])
 
 

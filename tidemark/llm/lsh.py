@@ -3,11 +3,18 @@
 Items are distinct texts, each with a 64-bit node and a 128-bit digest (the node may, at very large scale, stand for two
 texts; links are between digests).
 
-Rows (band, node) are dealt out by band and sorted, so that a task reads one bucket (the items that share a band) after
-the other and holds none whole. A bucket of a few items gives all its pairs. A larger one is crowded, and gives pairs with
-its most central item, the one that stands in most crowded buckets: its candidates are linear in its size. A band that
-many items of one input batch share does not meet in one task at all: what is over a few of them goes to the crowded
-members directly.
+Rows (band, node, sketch) are dealt out by band in blocks: a task sorts what it has, cuts it where the part of the band
+space changes, and hands on each cut as one binary value, so that the exchange moves some hundred thousand blocks and not
+some hundred million rows. A task that reads a part finds each bucket (the items that share a band) in one run. There are
+several parts to a partition, so that what is held at a time is a fraction of a partition. A bucket of a few items gives
+all its pairs. A larger one is crowded, and gives pairs with its most central item, the one that stands in most crowded
+buckets: its candidates are linear in its size. A band that many items of one task share does not meet in one part at all:
+what is over a few of them goes to the crowded members directly.
+
+A sketch is a bit of each of SKETCH_BITS registers; pairs whose sketches differ in more than APART bits are no candidates.
+Two registers differ in that bit with half the probability that they differ at all, so a pair of similarity 0.8 is lost so
+with a probability of some 1 in 10,000, while pairs that share a band by chance, whose number grows with the square of the
+input, nearly all go. Items without a sketch (0) are all near.
 
 What the central item may miss is a link between two items neither of which is similar to it. So crowded buckets that
 still hold items of several components are taken up again, exactly: the items' elements are put in order of rarity, two
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import freed, written
+from tidemark.llm.common import freed, parallelism, written
 from tidemark.llm.graph import components
 
 #: Given a table of (node), the (node, digest, item) of those nodes, item being what is compared.
@@ -39,96 +46,138 @@ Elements = Callable[[pa.Array], list[np.ndarray]]
 
 #: Items of a bucket that gives all its pairs, at most. Elements are counted in 2 ** SLOT_BITS slots.
 FEW, SLOT_BITS = 16, 20
-ROWS = "band long, node long, over boolean"
-
-
-def band_rows(nodes: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
-    """Rows (band, node, over) of nodes and their [node, band] hashes; over marks those of a band that more than a few
-    nodes here share, from the second after the few on, which still show that the bucket is crowded."""
-    band, node = bands.reshape(-1), np.repeat(nodes, bands.shape[1])
-    order = np.argsort(band, kind="stable")
-    ordered = band[order]
-    first = np.ones(len(ordered), dtype=bool)
-    first[1:] = ordered[1:] != ordered[:-1]
-    starts = np.flatnonzero(first)
-    place = np.arange(len(ordered)) - np.repeat(starts, np.diff(np.append(starts, len(ordered))))
-    return pa.RecordBatch.from_arrays([pa.array(ordered), pa.array(node[order]), pa.array(place > FEW)], ["band", "node", "over"])
+SKETCH_BITS, APART = 48, 15
+#: The bit of a sketch that marks a row whose bucket is crowded for sure.
+OVER = 1 << 62
+BLOCKS = "part int, block binary"
+#: Parts of the band space for each partition of a shuffle; rows of a part in a block, about; rows that a task gathers.
+PARTS, BLOCK_ROWS, GATHERED = 8, 64, 1 << 20
+
+
+class Dealer:
+    """Gathers rows (band, node, sketch) and hands them on in blocks, one for each part of the band space."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts, self.rows, self.n = parts, [], 0
+
+    def add(self, nodes: np.ndarray, bands: np.ndarray, sketches: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """Rows of nodes, their [node, band] hashes and their sketches."""
+        rows = np.zeros((bands.size, 3), dtype=np.int64)
+        rows[:, 0], rows[:, 1] = bands.reshape(-1), np.repeat(nodes, bands.shape[1])
+        if sketches is not None:
+            rows[:, 2] = np.repeat(sketches, bands.shape[1])
+        self.rows.append(rows)
+        self.n += len(rows)
+        if self.n >= min(GATHERED, BLOCK_ROWS * self.parts):
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        rows = np.concatenate(self.rows)
+        self.rows, self.n = [], 0
+        rows = rows[np.argsort(rows[:, 0].view(np.uint64))]
+        over = self._over(rows)
+        if over.any():  # a row that is here twice must not make a bucket look crowded
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0].view(np.uint64)))]
+            rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))]
+            over = self._over(rows)
+        yield self._blocks(rows[~over], 0)
+        if over.any():  # those of a crowded bucket go anywhere
+            rows = rows[over]
+            rows[:, 2] |= OVER
+            yield self._blocks(rows[np.argsort(rows[:, 1].view(np.uint64))], 1)
+
+    @staticmethod
+    def _over(rows: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        return np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows)))) > FEW
+
+    def _blocks(self, rows: np.ndarray, by: int) -> pa.RecordBatch:
+        part = ((rows[:, by].view(np.uint64) >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = (np.append(starts, len(rows)) * rows.strides[0]).astype(np.int32)
+        block = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+        return pa.RecordBatch.from_arrays([pa.array(part[starts]), block], ["part", "block"])
+
+
+def n_parts(df: DataFrame) -> int:
+    return PARTS * parallelism(df.sparkSession)
+
+
+def sketches(signature: np.ndarray, kind: int = 0) -> np.ndarray:
+    """The lowest bits of the first registers of [node, register]; above them, the kind (0 or 1) of the signature."""
+    bits = (signature[:, :SKETCH_BITS] & 1).astype(np.int64)
+    return bits @ (np.int64(1) << np.arange(bits.shape[1], dtype=np.int64)) | np.int64(kind << SKETCH_BITS)
 
 
 def spread(banded: DataFrame) -> DataFrame:
-    """Rows (band, node, over) of (node, bands array<long>)."""
+    """Blocks of rows of (node, bands array<long>)."""
+    parts = n_parts(banded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(parts)
         for b in batches:
             bands = b.column(1)
             counts = np.diff(np.asarray(bands.offsets))
             held = counts > 0
             if held.any():
-                width = int(counts[held][0])
-                yield band_rows(b.column(0).to_numpy()[held], bands.flatten().to_numpy().reshape(-1, width))
-
-    return banded.select("node", "bands").mapInArrow(run, ROWS)
-
-
-def _of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (band, node, over) sorted by band and node: (crowded, x, y), a pair of nodes, or a band and its member."""
-    triangles = {n: np.triu_indices(n, 1) for n in range(2, FEW + 1)}
-    held_band, held = None, np.zeros(0, dtype=np.int64)  # the last bucket so far: its first nodes, as far as they matter
-    large = False
-
-    def batch(crowded: bool, x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
-        x, y = np.concatenate(x), np.concatenate(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), crowded)), pa.array(x), pa.array(y)], ["crowded", "x", "y"])
-
-    def whole(sizes: np.ndarray, starts: np.ndarray, band: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x, y = [], []
-        for n in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
-            members = node[starts[sizes == n][:, None] + np.arange(n)]
-            i, j = triangles[n]
-            x.append(members[:, i].reshape(-1))
-            y.append(members[:, j].reshape(-1))
-        if x:
-            yield batch(False, x, y)
-        many = np.repeat(sizes > FEW, sizes)
-        if many.any():
-            yield batch(True, [band[many]], [node[many]])
-
+                yield from dealer.add(b.column(0).to_numpy()[held], bands.flatten().to_numpy().reshape(-1, int(counts[held][0])))
+        yield from dealer.flush()
+
+    return banded.select("node", "bands").mapInArrow(run, BLOCKS)
+
+
+def of_part(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """From all rows (band, node, sketch) of a part: (crowded, x, y, sketch), a pair of nodes, or a band and its member."""
+
+    def batch(crowded: bool, x: np.ndarray, y: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(x), crowded)), pa.array(x), pa.array(y), pa.array(sketch)]
+        return pa.RecordBatch.from_arrays(columns, ["crowded", "x", "y", "sketch"])
+
+    over = rows[:, 2] & OVER != 0
+    if over.any():
+        yield batch(True, rows[over, 0], rows[over, 1], rows[over, 2] ^ OVER)
+        rows = rows[~over]
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    band, node, sketch = rows.T.copy()
+    fresh = np.ones(len(rows), dtype=bool)
+    fresh[1:] = (band[1:] != band[:-1]) | (node[1:] != node[:-1])
+    band, node, sketch = band[fresh], node[fresh], sketch[fresh]
+    starts = np.flatnonzero(np.append(True, band[1:] != band[:-1])[: len(band)])
+    sizes = np.diff(np.append(starts, len(band)))
+    x, y = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
+        at = starts[sizes == n][:, None] + np.arange(n)
+        left, right = (at[:, side].reshape(-1) for side in np.triu_indices(n, 1))
+        near = np.bitwise_count(sketch[left] ^ sketch[right]) <= APART
+        x.append(node[left[near]])
+        y.append(node[right[near]])
+    x, y = np.concatenate(x), np.concatenate(y)
+    yield batch(False, x, y, np.zeros(len(x), dtype=np.int64))
+    many = np.repeat(sizes > FEW, sizes)
+    if many.any():
+        yield batch(True, band[many], node[many], sketch[many])
+
+
+def _of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same from blocks in order of their parts."""
+    part, held = None, []
     for b in batches:
-        band, node, over = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if over.any():
-            yield batch(True, [band[over]], [node[over]])
-            band, node = band[~over], node[~over]
-        if not len(band):
-            continue
-        if held_band is not None and not large:
-            band, node = np.concatenate([np.full(len(held), held_band), band]), np.concatenate([held, node])
-        fresh = np.ones(len(band), dtype=bool)
-        fresh[1:] = (band[1:] != band[:-1]) | (node[1:] != node[:-1])
-        band, node = band[fresh], node[fresh]
-        if large and band[0] == held_band:
-            more = band == held_band
-            yield batch(True, [band[more]], [node[more]])
-            if more.all():
-                continue
-            band, node = band[~more], node[~more]
-        large = False
-        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-        sizes = np.diff(np.append(starts, len(band)))
-        yield from whole(sizes[:-1], starts[:-1], band[: starts[-1]], node[: starts[-1]])
-        held_band, held = band[-1], node[starts[-1] :]
-        if len(held) > FEW:
-            yield batch(True, [np.full(len(held), held_band)], [held])
-            large = True
-    if held_band is not None and not large:
-        yield from whole(np.array([len(held)]), np.array([0]), np.full(len(held), held_band), held)
-
-
-def met(rows: DataFrame) -> DataFrame:
-    """(crowded, x, y): pairs of nodes of the buckets of a few, and (band, node) of the crowded ones, from (band, node,
-    over)."""
-    to = F.when(F.col("over"), F.xxhash64("node")).otherwise(F.col("band"))
-    dealt = rows.withColumn("to", to).repartition("to").select("band", "node", "over").sortWithinPartitions("band", "node")
-    return dealt.mapInArrow(_of_buckets, "crowded boolean, x long, y long")
+        for now, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if now != part and held:
+                yield from of_part(np.concatenate(held))
+                held = []
+            part = now
+            held.append(np.frombuffer(block.as_buffer(), dtype=np.int64).reshape(-1, 3))
+    if held:
+        yield from of_part(np.concatenate(held))
+
+
+def met(blocks: DataFrame) -> DataFrame:
+    """(crowded, x, y, sketch): pairs of nodes of the buckets of a few, and (band, node) of the crowded ones, from blocks."""
+    dealt = blocks.repartition(parallelism(blocks.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(_of_parts, "crowded boolean, x long, y long, sketch long")
 
 
 def central_pairs(members: DataFrame) -> DataFrame:
@@ -204,10 +253,11 @@ def prefixes(items: DataFrame, elements: Elements, threshold: float) -> DataFram
 
 
 def across(rare: DataFrame, still: DataFrame, threshold: float) -> DataFrame:
-    """(x, y): pairs of different components that share a rare element and an open bucket (still: node, root, bands) and may
-    reach the threshold."""
-    rows = rare.join(still.select("node", "bands"), "node")
-    x, y = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("key", "node", "root", "n", "at", "bands")]) for side in "xy")
+    """(x, y): pairs of different components that share a rare element and an open bucket (still: node, root, bands, sketch)
+    and may reach the threshold."""
+    rows = rare.join(still.select("node", "bands", "sketch"), "node")
+    x, y = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("key", "node", "root", "n", "at", "bands", "sketch")]) for side in "xy")
+    apart = F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))
     needed = (F.col("x_n") + F.col("y_n")) * F.lit(threshold / (1 + threshold)) - 1e-6
     may = (
         (F.col("x_key") == F.col("y_key"))
@@ -215,24 +265,27 @@ def across(rare: DataFrame, still: DataFrame, threshold: float) -> DataFrame:
         & (F.col("x_root") != F.col("y_root"))
         # At the first element that two items share, all that they share is still to come.
         & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= needed)
+        # Sketches of different kinds say nothing.
+        & ((F.bit_count(apart) <= APART) | (apart >= 1 << SKETCH_BITS))
         & F.arrays_overlap("x_bands", "y_bands")
     )
     return x.join(y, may).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
 
 
 def _open_nodes(members: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root, bands) of the crowded buckets that hold several components; a node has some tens of bands at most."""
+    """(node, root, bands, sketch) of the crowded buckets that hold several components; a node has some tens of bands at
+    most."""
     of_node = items.select("node", "digest").join(roots, "digest", "left").select("node", F.xxhash64(F.coalesce("root", "digest")).alias("root"))
     held = members.join(of_node, "node")
     several = held.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    return held.join(several, "band").groupBy("node", "root").agg(F.collect_list("band").alias("bands"))
+    return held.join(several, "band").groupBy("node", "root").agg(F.collect_list("band").alias("bands"), F.min("sketch").alias("sketch"))
 
 
-def link(rows: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float) -> DataFrame:
-    """(digest, root) for every digest that is linked to another; root is the least digest of its component. rows are
-    (band, node, over)."""
-    found = written(met(rows), "met")
-    members = found.filter("crowded").select(F.col("x").alias("band"), F.col("y").alias("node")).distinct()
+def link(blocks: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float) -> DataFrame:
+    """(digest, root) for every digest that is linked to another; root is the least digest of its component. blocks
+    are a Dealer's."""
+    found = written(met(blocks), "met")
+    members = found.filter("crowded").groupBy(F.col("x").alias("band"), F.col("y").alias("node")).agg(F.min("sketch").alias("sketch"))
     few = found.filter("not crowded").select("x", "y")
     is_crowded = found.filter("crowded").limit(1).count() > 0
     if is_crowded:

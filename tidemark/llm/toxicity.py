@@ -257,7 +257,8 @@ def fit(
         yield pd.DataFrame([(m.ordinary, m.toxic, list(m.mean), list(m.spread), list(m.weights))], columns=["o", "t", "m", "s", "w"])
 
     # The sample is bounded by fit_docs, so its side may be broadcast, and one task learns from it.
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__of")).select(F.col(text).alias("body"), F.col("__toxic").alias("toxic"))
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("body"))
+    rows = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__of")).select("body", F.col("__toxic").alias("toxic"))
     made = "o binary, t binary, m array<double>, s array<double>, w array<double>"
     r = rows.filter("body IS NOT NULL").repartition(1).mapInPandas(run, made).first()
     return Model(bytes(r.o), bytes(r.t), tuple(r.m), tuple(r.s), tuple(r.w)) if r else learned([], np.zeros(0))
