@@ -13,32 +13,34 @@ an empty table gives an empty table; further columns pass through all stages but
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, line_dedup, near_dedup, packing, quality
-from tidemark.llm.common import freed, small_side, written
+from tidemark.llm.common import free_name, freed, small_side, written
 
 #: Documents whose language is less certain than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _where(found: DataFrame, condition: str, docs: DataFrame) -> DataFrame:
-    """The rows of docs, which found has with a column __found, for which the condition holds."""
+def _where(found: DataFrame, condition: Column, docs: DataFrame) -> DataFrame:
+    """The rows of docs, which found has with one more column, for which the condition holds."""
     return found.filter(condition).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or of no certain language, are rejected."""
     model = language.fit(language.learnable(docs), public_tokenizers.path(language.VOCABULARY))
-    found = language.found_languages(docs, model)
-    return _where(found, f"__found.lang_pred <> '{language.UNDETERMINED}' AND __found.score >= {LEAST_LANGUAGE_SCORE}", docs)
+    found = F.col(name := free_name(docs))
+    sure = (found["lang_pred"] != language.UNDETERMINED) & (found["score"] >= LEAST_LANGUAGE_SCORE)
+    return _where(language.found_languages(docs, model, name=name), sure, docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that fail the base rules or that the isolation forest finds anomalous are rejected."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _where(quality.judged(docs, quality.fit(docs, labels)), "__found.kept", docs)
+    rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    name = free_name(docs)
+    return _where(quality.judged(docs, rules, name=name), F.col(name)["kept"], docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +52,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each class the document with the least identifier stays, once if its row is repeated."""
+    of_id, of_text = free_name(docs, "__id"), free_name(docs, "__of")
     at = F.struct(F.col("doc_id"), F.xxhash64("text").alias("of"))
     judged = near_dedup.classes(docs.select(at.alias("at"), "text"), key="at")
     by_row = judged.groupBy("at").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    verdicts = written(by_row.filter("NOT kept OR n > 1").select(F.col("at.doc_id").alias("__id"), F.col("at.of").alias("__of"), "kept"), "verdicts")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__of"))
-    stay = docs.join(small_side(verdicts.select("__id", "__of")), same, "left_anti")
+    verdicts = by_row.filter("NOT kept OR n > 1").select(F.col("at.doc_id").alias(of_id), F.col("at.of").alias(of_text), F.col("kept").alias("stays"))
+    verdicts = written(verdicts, "verdicts")
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_text))
+    stay = docs.join(small_side(verdicts.drop("stays")), same, "left_anti")
     # Only repeated rows are shuffled with their texts.
-    repeated = docs.join(small_side(verdicts.filter("kept").select("__id", "__of")), same).dropDuplicates(["__id", "__of"])
-    return stay.unionByName(repeated.drop("__id", "__of"))
+    repeated = docs.join(small_side(verdicts.filter("stays").drop("stays")), same).dropDuplicates([of_id, of_text])
+    return stay.unionByName(repeated.drop(of_id, of_text))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
