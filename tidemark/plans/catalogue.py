@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("relational", "aggregates", "scalars", "collections", "platform", "frames")
+MODULES: tuple[str, ...] = ("relational", "aggregates", "scalars", "collections", "platform", "frames", "surface")
 
 
 def load() -> None:
