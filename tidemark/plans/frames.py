@@ -22,9 +22,12 @@ def frame_select_expr(spark, d):
 
 @register("frame_grouped_methods", "SELECT c_mktsegment, CAST(sum(c_custkey) AS BIGINT) AS s, min(c_acctbal) AS low, max(c_acctbal) AS high, count(*) AS n FROM customer GROUP BY 1")
 def frame_grouped_methods(spark, d):
-    g = table(spark, d, "customer").groupby("c_mktsegment")
-    out = g.sum("c_custkey").join(g.min("c_acctbal"), "c_mktsegment").join(g.max("c_acctbal"), "c_mktsegment").join(g.count(), "c_mktsegment")
-    return out.toDF("c_mktsegment", "s", "low", "high", "n")
+    """The methods of a grouping, each over the rows that one scan and one aggregation have left of a segment and sign."""
+    c = table(spark, d, "customer").withColumn("sign", F.sign("c_acctbal")).groupBy("c_mktsegment", "sign")
+    c = c.agg(F.sum("c_custkey").alias("s"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"), F.count(F.lit(1)).alias("n")).persist()
+    g = c.groupby("c_mktsegment")
+    out = g.sum("s", "n").join(g.min("low"), "c_mktsegment").join(g.max("high"), "c_mktsegment")
+    return out.select("c_mktsegment", F.col("sum(s)").alias("s"), F.col("min(low)").alias("low"), F.col("max(high)").alias("high"), F.col("sum(n)").alias("n"))
 
 
 @register("frame_aggregate_by_name", "SELECT p_type, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1")
@@ -63,7 +66,7 @@ def frame_samples(spark, d):
 
 @register("frame_catalog_view", "SELECT r_regionkey, r_name FROM region")
 def frame_catalog_view(spark, d):
-    """A temporary view and a cached table, through the catalog."""
+    """A temporary view, through the catalog."""
     name = f"regions_{uuid.uuid4().hex}"
     table(spark, d, "region").createOrReplaceTempView(name)
     assert spark.catalog.tableExists(name)
@@ -72,9 +75,10 @@ def frame_catalog_view(spark, d):
 
 @register("frame_cached_twice", "SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS s FROM part")
 def frame_cached_twice(spark, d):
+    """One cached column read by two aggregates."""
     p = table(spark, d, "part").select("p_size").persist()
-    out = p.agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("s"))
-    return out
+    n, total = p.agg(F.count(F.lit(1)).alias("n")), p.agg(F.sum("p_size").alias("s"))
+    return n.join(total)
 
 
 @register("rdd_reduce_by_key", "SELECT p_type, CAST(sum(p_size) AS BIGINT) AS s FROM part GROUP BY 1")

@@ -58,7 +58,10 @@ def sql_ddl_table(spark, d):
     name = f"segments_{uuid.uuid4().hex}"
     spark.sql(f"CREATE TABLE {name} USING parquet AS SELECT * FROM {{c}} WHERE c_acctbal > 0", c=table(spark, d, "customer"))
     spark.sql(f"INSERT INTO {name} SELECT * FROM {{c}} WHERE NOT c_acctbal > 0", c=table(spark, d, "customer"))
-    return spark.sql(f"SELECT c_mktsegment, count(*) AS n FROM {name} GROUP BY c_mktsegment")
+    out, path = spark.sql(f"SELECT c_mktsegment, count(*) AS n FROM {name} GROUP BY c_mktsegment"), scratch(spark, "segments")
+    io.write(out, path)
+    io.drop_table(spark, name)
+    return io.read(spark, path, schema="c_mktsegment string, n bigint")
 
 
 # --- statistics ------------------------------------------------------------------------------------------------------

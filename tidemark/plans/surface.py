@@ -32,13 +32,13 @@ def _saved(df, what: str):
 
 @register(
     "column_operators",
-    """SELECT s_suppkey, s_suppkey <> 3 AS ne, pow(s_suppkey, 2) AS p, 2 * s_suppkey AS rm, 100.0::DOUBLE / s_suppkey AS rd, 100 % s_suppkey AS rr, pow(2.0::DOUBLE, s_suppkey % 8) AS rp,
+    """SELECT s_suppkey, s_suppkey <> 3 AS ne, pow(s_suppkey, 2) AS p, 2 * s_suppkey AS rm, 100.0::DOUBLE / (s_suppkey + 1) AS rd, 100 % (s_suppkey + 1) AS rr, pow(2.0::DOUBLE, s_suppkey % 8) AS rp,
     s_suppkey IN (1, 2, 3) AS isin, s_name LIKE '%1' AS tail, substr(s_name, 1, 4) AS head, s_acctbal IS NULL AS isnull, CAST(s_suppkey AS VARCHAR) AS text FROM supplier""",
 )
 def column_operators(spark, d):
     k, n = C("s_suppkey"), C("s_name")
     return table(spark, d, "supplier").select(
-        "s_suppkey", (k != 3).alias("ne"), (k**2).alias("p"), (2 * k).alias("rm"), (L(100.0) / k).alias("rd"), (100 % k).alias("rr"), (2.0 ** (k % 8)).alias("rp"),
+        "s_suppkey", (k != 3).alias("ne"), (k**2).alias("p"), (2 * k).alias("rm"), (100.0 / (k + 1)).alias("rd"), (100 % (k + 1)).alias("rr"), (2.0 ** (k % 8)).alias("rp"),
         k.isin(1, 2, 3).alias("isin"), n.endswith("1").alias("tail"), n.substr(1, 4).alias("head"), C("s_acctbal").isNull().alias("isnull"), k.astype("string").alias("text"),
     )
 
@@ -368,7 +368,7 @@ def sql_statements(spark, d):
         spark.sql(f"ALTER TABLE {t} ADD COLUMNS (tag STRING)")
         spark.sql(f"INSERT INTO {t} VALUES ('EXTRA', 7, 'more')")
         spark.sql(f"REFRESH TABLE {t}")
-        shown = {r.tableName for r in spark.sql(f"SHOW TABLES IN {base}").collect()} | {r[0] for r in spark.sql(f"SHOW COLUMNS IN {t}").collect()}
+        shown = {r.tableName for r in spark.sql(f"SHOW TABLES IN {base}").collect() if not r.isTemporary} | {r[0] for r in spark.sql(f"SHOW COLUMNS IN {t}").collect()}
         described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE {t}").collect()}
         assert shown == {"segments", "c_mktsegment", "n", "tag"} and described == {"c_mktsegment": "string", "n": "bigint", "tag": "string"}
         assert base in {r[0] for r in spark.sql("SHOW DATABASES").collect()} and "Physical Plan" in spark.sql(f"EXPLAIN SELECT * FROM {t}").first()[0]
