@@ -216,14 +216,14 @@ def _accounts(spark, d) -> VersionedTable:
 @register(
     "versioned_merge",
     """SELECT c_custkey, c_mktsegment, CASE WHEN o_custkey IS NOT NULL THEN c_acctbal + total ELSE c_acctbal END AS c_acctbal FROM customer
-    LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'P' AND o_custkey < 1000 GROUP BY 1) ON c_custkey = o_custkey
+    LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_custkey = o_custkey
     WHERE NOT (o_custkey IS NOT NULL AND total > 1000000) AND NOT (o_custkey IS NULL AND c_acctbal < 0)
-    UNION ALL SELECT 1000000 + n_nationkey, 'NEW', 0.0 FROM nation""",
+    UNION ALL SELECT -1 - n_nationkey, 'NEW', 0.0 FROM nation""",
 )
 def versioned_merge(spark, d):
     t = _accounts(spark, d)
-    due = table(spark, d, "orders").filter("o_orderstatus = 'P' AND o_custkey < 1000").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
-    new = table(spark, d, "nation").selectExpr("1000000L + n_nationkey AS o_custkey", "0.0D AS total")
+    due = table(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    new = table(spark, d, "nation").selectExpr("-1L - n_nationkey AS o_custkey", "0.0D AS total")
     merge = t.merge(due.unionByName(new), "target.c_custkey = source.o_custkey")
     merge.when_matched_delete("source.total > 1000000").when_matched_update({"c_acctbal": "target.c_acctbal + source.total"})
     merge.when_not_matched_insert({"c_custkey": "source.o_custkey", "c_mktsegment": "'NEW'", "c_acctbal": "source.total"})

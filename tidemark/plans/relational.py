@@ -264,9 +264,9 @@ def top_k_per_group(spark, d):
     return frame.top_k(t, ["c_mktsegment"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3)
 
 
-@register("order_nulls", "SELECT user_id, k, row_number() OVER (ORDER BY k ASC NULLS LAST, user_id) AS place FROM (SELECT DISTINCT user_id, nullif(event_type, 'error') AS k FROM events WHERE user_id < 20)")
+@register("order_nulls", "SELECT user_id, k, row_number() OVER (ORDER BY k ASC NULLS LAST, user_id) AS place FROM (SELECT DISTINCT user_id, nullif(event_type, 'error') AS k FROM events)")
 def order_nulls(spark, d):
-    e = table(spark, d, "events").filter("user_id < 20").select("user_id", F.nullif(F.col("event_type"), F.lit("error")).alias("k")).distinct()
+    e = table(spark, d, "events").select("user_id", F.nullif(F.col("event_type"), F.lit("error")).alias("k")).distinct()
     return frame.numbered(e, [F.asc_nulls_last("k"), F.asc_nulls_last("user_id")], "place", scratch(spark, "ordered"))
 
 
