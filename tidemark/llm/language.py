@@ -60,8 +60,14 @@ class Lattice:
         self.ids = {p: i for p, i in vocabulary.items() if len(p) <= SPAN}
         self.letters = {p for p in self.ids if len(p) == 1}
         self.ids |= {chr(BYTE_LETTERS + b): vocabulary[f"<0x{b:02X}>"] for b in range(256)}
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.size = len(vocabulary)
+        # A tree of the pieces' letters: state << 21 | letter, sorted, and the state that follows; 0 is the root.
+        prefixes = sorted({p[:k] for p in self.ids for k in range(1, len(p) + 1)})
+        state = {"": 0} | {p: i + 1 for i, p in enumerate(prefixes)}
+        steps = np.array([state[p[:-1]] << 21 | ord(p[-1]) for p in prefixes], dtype=np.int64)
+        order = np.argsort(steps)
+        self.steps, self.follows = steps[order], np.arange(1, len(prefixes) + 1)[order]
+        self.piece = np.array([-1] + [self.ids.get(p, -1) for p in prefixes], dtype=np.int32)
 
     def spelled(self, run: str) -> str:
         """The run, with a letter outside the vocabulary as its bytes."""
@@ -71,27 +77,33 @@ class Lattice:
         return "".join(c if c in self.letters else as_bytes(c) for c in run)
 
     def edges(self, runs: list[str]) -> tuple[np.ndarray, ...]:
-        """(run, start, end, piece) of every piece that occurs, sorted by (end, start)."""
-        of, starts, ends, pieces = [], [], [], []
-        ids, prefixes = self.ids, self.prefixes
-        for w, run in enumerate(runs):
-            n = len(run)
-            for i in range(n):
-                j = i + 1
-                piece = run[i:j]
-                while piece in prefixes:
-                    if (k := ids.get(piece)) is not None:
-                        of.append(w)
-                        starts.append(i)
-                        ends.append(j)
-                        pieces.append(k)
-                    if j == n:
-                        break
-                    j += 1
-                    piece = run[i:j]
-        found = [np.array(x, dtype=np.int32) for x in (of, starts, ends, pieces)]
-        order = np.lexsort((found[1], found[2]))
-        return tuple(x[order] for x in found)
+        """(run, start, end, piece) of every piece that occurs, sorted by (end, start). All places of all runs go down the
+        tree together, a letter at a time, until none has a piece left to reach."""
+        lengths = np.array([len(r) for r in runs], dtype=np.int64)
+        codes = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        run = np.repeat(np.arange(len(runs), dtype=np.int32), lengths)
+        start = (np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        left = np.repeat(lengths, lengths) - start
+        at, state = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64)
+        found: list[tuple[np.ndarray, ...]] = []
+        for k in range(SPAN):
+            open_ = left[at] > k
+            at, state = at[open_], state[open_]
+            step = state << 21 | codes[at + k]
+            place = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            hit = self.steps[place] == step
+            at, state = at[hit], self.follows[place[hit]]
+            if not len(at):
+                break
+            piece = self.piece[state]
+            here = piece >= 0
+            whole = at[here]
+            found.append((run[whole], start[whole], start[whole] + np.int32(k + 1), piece[here]))
+        if not found:
+            return tuple(np.zeros(0, dtype=np.int32) for _ in range(4))
+        parts = [np.concatenate(x) for x in zip(*found, strict=True)]
+        order = np.argsort(parts[2].astype(np.int64) << 32 | parts[1], kind="stable")
+        return tuple(x[order] for x in parts)
 
 
 def _groups(first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
