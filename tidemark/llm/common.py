@@ -135,11 +135,14 @@ def with_found(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = compute()
-        for batch in batches:
-            for b in slices(batch, len(names)):
-                kept = [b.column(i) for i in range(len(names))]
-                found = [x if isinstance(x, pa.Array) else pa.array(x) for x in of(b.column(len(names)).to_pylist())]
-                yield pa.RecordBatch.from_arrays(kept + found, names + places)
+        try:
+            for batch in batches:
+                for b in slices(batch, len(names)):
+                    kept = [b.column(i) for i in range(len(names))]
+                    found = [x if isinstance(x, pa.Array) else pa.array(x) for x in of(b.column(len(names)).to_pylist())]
+                    yield pa.RecordBatch.from_arrays(kept + found, names + places)
+        finally:  # an idle worker keeps no words
+            getattr(of, "done", lambda: None)()
 
     found = F.struct(*[F.col(n).alias(f.name) for n, f in zip(places, made, strict=True)]).alias(name)
     return source.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], found)

@@ -42,8 +42,8 @@ SPAN = 16
 FIT_DOCS, FIT_ROUNDS = 2000, 4
 #: Positions (of all runs together) that go through the lattices at a time.
 CELLS = 150_000
-#: Words, and characters in them, whose scores a Python worker keeps (some 100 MB).
-CACHE_WORDS, CACHE_CHARS = 400_000, 16_000_000
+#: Words, and characters in them, whose scores a Python worker keeps within a task (some 60 MB).
+CACHE_WORDS, CACHE_CHARS = 250_000, 16_000_000
 #: Stands for a byte of a letter that is outside the vocabulary: this code point and the 255 after it are no letters.
 BYTE_LETTERS = 0xF0000
 
@@ -393,7 +393,12 @@ def found_languages(docs: DataFrame, model: Model, text: str = "text", name: str
 
     def compute():
         scorer = _scorer(sent.value)
-        return lambda texts: scorer.score(texts)
+
+        def of(texts: list[str]) -> tuple[list[str], list[float]]:
+            return scorer.score(texts)
+
+        of.done = scorer.clear
+        return of
 
     return with_found(docs, text, "lang_pred string, score double", compute, name)
 

@@ -42,7 +42,7 @@ FULL_BELOW, SPARSE_FROM = 100, 80
 #: different shingles are counted.
 CHUNK, SEEN, CELLS = 1 << 18, 500_000, 512
 #: Pairs that are compared together (4,096 at most); how close to the threshold hashes are not enough.
-PAIRS, SLACK = 500, 4.0
+PAIRS, SLACK = 250, 4.0
 _BASE = np.uint64(0x100000001B3)
 _BLANK = " \t\n\x0b\x0c\r"
 

@@ -32,7 +32,7 @@ from tidemark.llm.lsh import as_lists, link, overlap, spread
 SHINGLE, THRESHOLD = 5, 0.8
 #: 24 bands of 4 registers find a pair of similarity 0.8 but for 3 in a million.
 BANDS, ROWS = 24, 4
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Documents whose processes run together.
 CHUNK = 512
 
