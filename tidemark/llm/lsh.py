@@ -45,7 +45,7 @@ Similar = Callable[[Column, Column], Column]
 Elements = Callable[[pa.Array], list[np.ndarray]]
 
 #: Items of a bucket that gives all its pairs, at most. Elements are counted in 2 ** SLOT_BITS slots.
-FEW, SLOT_BITS = 32, 20
+FEW, SLOT_BITS = 40, 20
 SKETCH_BITS, APART = 48, 15
 #: The bit of a sketch that marks a row whose bucket is crowded for sure.
 OVER = 1 << 62
