@@ -111,3 +111,11 @@ def test_mode_and_collected_nulls(spark):
     t = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, "b"), (2, None)], "k int, v string")
     out = {r.k: r for r in t.groupBy("k").agg(F.mode("v").alias("m"), F.sort_array(F.collect_list("v")).alias("l"), F.last("v", ignorenulls=True).alias("x"), F.count("v").alias("n")).collect()}
     assert (out[1].m, out[1].l, out[1].n) == ("a", ["a", "a", "b"], 3) and (out[2].m, out[2].l, out[2].x, out[2].n) == (None, [], None, 0)
+
+
+def test_no_sketch_is_kept_for_each_part(spark, tmp_path):
+    plan = Q["approximate_within_bounds"](spark, SF)._jdf.queryExecution().toString()
+    assert not [line for line in plan.splitlines() if "keys=[" in line and "l_partkey" in line.split("functions=")[0] and "percentile" in line]
+    spark.createDataFrame([(None, 1, 2.0), (None, 2, 3.0), ("A", None, None)], "l_returnflag string, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r.l_returnflag: tuple(r)[1:] for r in Q["approximate_within_bounds"](spark, str(tmp_path)).collect()}
+    assert found == {None: (True, True), "A": (True, None)}
