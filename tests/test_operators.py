@@ -144,3 +144,26 @@ def test_pandas_queries_hold_no_whole_group(spark):
     plan = lambda name: registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan("udf_grouped_aggregate")
     assert "min(s_acctbal" in plan("udf_apply_in_pandas")
+
+
+def test_exact_quantiles_keep_no_column(spark, monkeypatch, tmp_path):
+    import math
+    import random
+
+    errors, kind = [], type(spark.range(1))
+    sketch = kind.approxQuantile
+    monkeypatch.setattr(kind, "approxQuantile", lambda self, column, at, error: errors.append(error) or sketch(self, column, at, error))
+    rng = random.Random(5)
+    values = [rng.choice([rng.random(), float(rng.randrange(9)), -rng.random()]) for _ in range(20_000)]
+    rows = [(v,) for v in values] + [(None,)] * 50 + [(math.nan,)] * 10
+    monkeypatch.setattr(frame, "COUNTED", 10_000)
+    shares = [0.0, 0.001, 0.3, 0.5, 0.9, 0.9999]
+    ordered = sorted(values) + [math.nan] * 10
+    want = [ordered[max(1, math.ceil(round(p * len(ordered), 6))) - 1] for p in shares]
+    found = frame.quantiles(spark.createDataFrame(rows, "v double").repartition(5), "v", [*shares, 1.0])
+    assert found[:-2] == want[:-1] and math.isnan(want[-1]) and math.isnan(found[-2]) and math.isnan(found[-1])
+    assert errors and min(errors) > 0
+    spark.createDataFrame([], "l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    from tidemark.plans import registry
+
+    assert [tuple(r) for r in registry.queries()["frame_quantiles"](spark, str(tmp_path)).collect()] == [(0.5, None), (0.9, None)]
