@@ -119,3 +119,18 @@ def test_no_sketch_is_kept_for_each_part(spark, tmp_path):
     spark.createDataFrame([(None, 1, 2.0), (None, 2, 3.0), ("A", None, None)], "l_returnflag string, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     found = {r.l_returnflag: tuple(r)[1:] for r in Q["approximate_within_bounds"](spark, str(tmp_path)).collect()}
     assert found == {None: (True, True), "A": (True, None)}
+
+
+def test_xml_is_parsed_once_for_each_value(spark, tmp_path):
+    spark.createDataFrame([(1, 5), (2, None), (3, 5), (3, 5), (None, 7)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    df = Q["xml_functions"](spark, str(tmp_path))
+    assert sorted(((r.p_partkey, r.int_, r.from_, r.to_) for r in df.collect()), key=repr) == sorted(
+        [(1, 5, 5, xml(5)), (2, None, None, xml(None)), (3, 5, 5, xml(5)), (3, 5, 5, xml(5)), (None, 7, 7, xml(7))], key=repr
+    )
+    plan = Q["xml_functions"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "XPath" in line)
+    assert "REPARTITION_BY_NUM" in plan[at - 1] and "REPARTITION_BY_NUM" in plan[at + 1]
+
+
+def xml(n):
+    return "<ROW/>" if n is None else f"<ROW>\n    <p_size>{n}</p_size>\n</ROW>"

@@ -65,7 +65,7 @@ unchecked("xml_functions", "part", "p_partkey", {
     "xpath_": lambda: F.xpath(_xml(), L("p/n/text()")), "boolean_": lambda: F.xpath_boolean(_xml(), L("p/n")), "double_": lambda: F.xpath_double(_xml(), L("sum(p/n)")), "float_": lambda: F.xpath_float(_xml(), L("sum(p/n)")), "int_": lambda: F.xpath_int(_xml(), L("p/n[1]")),
     "long_": lambda: F.xpath_long(_xml(), L("p/n[1]")), "short_": lambda: F.xpath_short(_xml(), L("p/n[2]")), "number_": lambda: F.xpath_number(_xml(), L("p/n[1]")), "string_": lambda: F.xpath_string(_xml(), L("p/n[2]")),
     "from_": lambda: F.from_xml(F.concat(L("<p><n>"), "p_size", L("</n></p>")), "n int")["n"], "to_": lambda: F.to_xml(F.struct("p_size")), "schema_": lambda: F.schema_of_xml(L("<p><n>1</n></p>")), "json_schema_": lambda: F.schema_of_json(L('{"a": 1}')), "csv_schema_": lambda: F.schema_of_csv(L("1,a")),
-})
+}, of="p_size")
 
 
 @register("explode_rows", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")

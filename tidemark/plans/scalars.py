@@ -25,13 +25,23 @@ def family(name: str, source: str, key: str, pairs: Pairs, where: str | None = N
         return (t.filter(where) if where else t).select(key, *[f().alias(alias) for alias, (f, _) in pairs.items()])
 
 
-def unchecked(name: str, source: str, key: str, columns: dict[str, Callable[[], Column]], where: str | None = None) -> None:
-    """Functions without a twin in the other engine: pinned values are in the tests."""
+def unchecked(name: str, source: str, key: str, columns: dict[str, Callable[[], Column]], where: str | None = None, of: str | None = None) -> None:
+    """Functions without a twin in the other engine: pinned values are in the tests. Costly functions of one column, of, are
+    evaluated once for each of its values, which are dealt over the tasks by number: by size they would all go to a few."""
 
     @register(name)
     def query(spark, d):
         t = table(spark, d, source)
-        return (t.filter(where) if where else t).select(key, *[f().alias(alias) for alias, f in columns.items()])
+        t = t.filter(where) if where else t
+        found = [f().alias(alias) for alias, f in columns.items()]
+        if of is None:
+            return t.select(key, *found)
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        by_value = t.select(of).distinct().repartition(tasks).select(C(of).alias("__of"), *found)
+        # What is shuffled has been evaluated: in a join's generated code it would be anew for each row that it meets. Not by
+        # key: such an exchange is left out where the rows are dealt so already.
+        by_value = by_value.repartition(tasks)
+        return t.select(key, of).join(by_value, C(of).eqNullSafe(C("__of"))).select(key, *columns)
 
 
 n, b, ty = (lambda: C("p_name")), (lambda: C("p_brand")), (lambda: C("p_type"))
