@@ -111,6 +111,20 @@ def test_crowded_buckets_lose_no_link(spark):
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 
 
+def test_counts_of_slots_travel_as_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    lists = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64) >> np.uint64(9) << np.uint64(9 * (n % 2))) for n in (0, 1, 500, 3000, 41)]
+    items = spark.createDataFrame([(e.view(np.int64).tolist(),) for e in lists * 4], "item array<long>").repartition(5)
+    made, kind = [], type(items)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda *a: made.append(plain(*a)) or made[-1])
+    out = lsh.histogram(items, lsh.as_lists)
+    assert made[0].count() <= 5 * lsh.SLOT_PARTS
+    want = np.zeros(1 << lsh.SLOT_BITS)
+    np.add.at(want, (np.concatenate(lists) >> np.uint64(64 - lsh.SLOT_BITS)).astype(np.int64), 4)
+    assert (out == want).all() and not lsh.histogram(items.limit(0), lsh.as_lists).any()
+
+
 def test_pairs_of_lines_equal_sets():
     rng, left, right = random.Random(1), [], []
     for _ in range(1500):

@@ -46,6 +46,8 @@ Elements = Callable[[pa.Array], list[np.ndarray]]
 
 #: Items of a bucket that gives all its pairs, at most. Elements are counted in 2 ** SLOT_BITS slots.
 FEW, SLOT_BITS = 40, 20
+#: Parts that the counts of slots are dealt out by.
+SLOT_PARTS = 64
 SKETCH_BITS, APART = 48, 15
 #: The bit of a sketch that marks a row whose bucket is crowded for sure.
 OVER = 1 << 62
@@ -206,22 +208,40 @@ def verified(pairs: DataFrame, items: DataFrame, alike: Similar) -> DataFrame:
 
 
 def histogram(items: DataFrame, elements: Elements) -> np.ndarray:
-    """How often elements of each slot occur, in an array of fixed size."""
+    """How often elements of each slot occur, in an array of fixed size. Counts travel as blocks, one for each part of the
+    slots that a task has met; a part's blocks are summed one by one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for b in batches:
             for e in elements(b.column(0)):
                 np.add.at(counts, (e >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-        slots = np.flatnonzero(counts)
-        for at in range(0, len(slots), 50_000):
-            part = slots[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["slot", "n"])
-
-    found = items.select("item").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SLOT_BITS, dtype=np.float32)
-    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return out
+        for part, own in enumerate(counts.reshape(SLOT_PARTS, -1)):
+            at = np.flatnonzero(own)
+            if len(at):
+                yield _counted(part, np.stack([at, own[at]]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                at, n = np.frombuffer(block.as_buffer(), dtype=np.int64).reshape(2, -1)
+                sums.setdefault(part, np.zeros((1 << SLOT_BITS) // SLOT_PARTS, dtype=np.int64))[at] += n
+        for part, own in sums.items():
+            at = np.flatnonzero(own)
+            yield _counted(part, np.stack([at, own[at]]))
+
+    blocks = items.select("item").mapInArrow(count, BLOCKS)
+    found = blocks.repartition(min(SLOT_PARTS, parallelism(items.sparkSession)), "part").mapInArrow(add, BLOCKS).toArrow()
+    out = np.zeros((SLOT_PARTS, (1 << SLOT_BITS) // SLOT_PARTS), dtype=np.float32)
+    for part, block in zip(found.column("part").to_pylist(), found.column("block"), strict=True):
+        at, n = np.frombuffer(block.as_buffer(), dtype=np.int64).reshape(2, -1)
+        out[part, at] = n
+    return out.reshape(-1)
+
+
+def _counted(part: int, slots_and_counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([slots_and_counts.tobytes()], pa.binary())], ["part", "block"])
 
 
 def prefixes(items: DataFrame, elements: Elements, threshold: float) -> DataFrame:
