@@ -108,6 +108,46 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == {n: n // 4 * 4 for n in items}
 
 
+def test_parities_never_tell_more_than_the_elements():
+    rng = np.random.default_rng(6)
+    for n, same in [(0, 0), (5, 4), (80, 70), (80, 50), (3000, 2500)]:
+        both = [np.concatenate([e := rng.integers(0, 2**64, same, dtype=np.uint64), rng.integers(0, 2**64, n - same, dtype=np.uint64)]), np.append(e, rng.integers(0, 2**64, n - same, dtype=np.uint64))]
+        apart = int(np.bitwise_count(np.bitwise_xor(*map(lsh.parities, both))).sum())
+        assert apart <= 2 * (n - same) and (n > 100 or apart >= 1.5 * (n - same) - 2)
+
+
+def crowd_of_unlike():
+    """120 items that share 60 elements and some of their 20 rarer ones, so are a little unlike (0.7), and near copies of
+    some of them."""
+    rng, items = random.Random(5), []
+    often, pool = rng.sample(range(1 << 62), 60), rng.sample(range(1 << 62), 100)
+    for k in range(120):
+        items.append(sorted([*often, *rng.sample(pool, 20)]))
+        if k % 10 == 0:
+            items.append(sorted([*items[-1][k // 20 :], *rng.sample(range(1 << 62), 3)]))
+    return items
+
+
+def test_prefix_join_makes_few_pairs_beyond_the_links(spark):
+    """The join makes all links and hardly a pair more, where nearly all pairs share a rare element."""
+    items = crowd_of_unlike()
+    sets = [set(e) for e in items]
+    links = {(i, j) for i, j in combinations(range(len(items)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    table = spark.createDataFrame([(i, i, 0, e) for i, e in enumerate(items)], "node long, root long, sketch long, item array<long>")
+    rare = lsh.prefixes(table, lsh.as_lists, 0.8)
+    pairs = lsh.across(rare, 0.8).collect()
+    got = {(r.x, r.y) for r in pairs}
+    assert links <= got and len(got) == len(pairs) and len(links) >= 12
+    assert len(got) <= 2 * len(links)
+
+
+def test_members_of_crowded_buckets_are_a_row_each(spark):
+    rows = [(True, band, node, 3) for band in range(24) for node in range(50)] * 2 + [(False, 1, 2, 0)]
+    members = lsh.crowds(spark.createDataFrame(rows, "crowded boolean, x long, y long, sketch long"))
+    assert sorted((r.node, sorted(r.bands), r.sketch) for r in members.collect()) == [(n, list(range(24)), 3) for n in range(50)]
+    assert {(r.x, r.y) for r in lsh.central_pairs(members).collect()} == {(n, 49) for n in range(49)}
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -18,9 +18,10 @@ input, nearly all go. Items without a sketch (0) are all near.
 
 What the central item may miss is a link between two items neither of which is similar to it. So crowded buckets that
 still hold items of several components are taken up again, exactly: the items' elements are put in order of rarity, two
-items that are similar enough share one of their rarest elements (the prefix of a length that the threshold fixes), and
-pairs of different components that meet there and in a bucket, and whose lengths and places leave room for the threshold,
-are verified.
+items that are similar enough share one of their rarest elements (the prefix of a length that the threshold fixes, shorter
+for the smaller item), and pairs of different components that meet there, and whose lengths, places and parities leave room
+for the threshold, are verified. The parities bound from below in how many elements two items differ, so nearly all pairs
+that meet are told apart in the join, and what it makes follows the links that are found and not the pairs that meet.
 Pairs inside a component are never needed. The order of rarity comes from a histogram of hashed elements, whose size is
 fixed; any order gives the same links, a good one fewer pairs.
 """
@@ -28,6 +29,8 @@ fixed; any order gives the same links, a good one fewer pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,9 @@ FEW, SLOT_BITS = 40, 20
 #: Parts that the counts of slots are dealt out by.
 SLOT_PARTS = 64
 SKETCH_BITS, APART = 48, 15
+#: An item's parities: 2 ** PARITY_BITS bits, in words; what spreads elements over them.
+PARITY_BITS, _SPREAD = 9, np.uint64(0x9E3779B97F4A7C15)
+WORDS = [f"w{i}" for i in range((1 << PARITY_BITS) // 64)]
 #: The bit of a sketch that marks a row whose bucket is crowded for sure.
 OVER = 1 << 62
 BLOCKS = "part int, block binary"
@@ -182,12 +188,17 @@ def met(blocks: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_of_parts, "crowded boolean, x long, y long, sketch long")
 
 
+def crowds(found: DataFrame) -> DataFrame:
+    """(node, bands, sketch) of the nodes of crowded buckets, a row each; a node has some tens of bands at most."""
+    return found.filter("crowded").groupBy(F.col("y").alias("node")).agg(F.collect_set("x").alias("bands"), F.min("sketch").alias("sketch"))
+
+
 def central_pairs(members: DataFrame) -> DataFrame:
-    """(x, y), x < y: each node of the crowded (band, node) with the most central node of its band."""
-    score = members.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
-    hubs = members.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub"))
+    """(x, y), x < y: each node of the crowded (node, bands) with the most central node of each of its bands."""
+    of_band = members.select(F.explode("bands").alias("band"), "node", F.size("bands").alias("score"))
+    hubs = of_band.groupBy("band").agg(F.max(F.struct("score", "node")).alias("hub"))
     hub = F.col("hub.node")
-    return members.join(hubs, "band").filter(hub != F.col("node")).select(F.least(hub, "node").alias("x"), F.greatest(hub, "node").alias("y"))
+    return of_band.join(hubs, "band").filter(hub != F.col("node")).select(F.least(hub, "node").alias("x"), F.greatest(hub, "node").alias("y"))
 
 
 def overlap(threshold: float) -> Similar:
@@ -244,72 +255,85 @@ def _counted(part: int, slots_and_counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([slots_and_counts.tobytes()], pa.binary())], ["part", "block"])
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Whether an odd number of an item's distinct elements falls to each of 2 ** PARITY_BITS bits. Those of two items differ
+    in at most as many bits as the items differ in elements, since what they share cancels out."""
+    slots = (elements * _SPREAD >> np.uint64(64 - PARITY_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=1 << PARITY_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def prefixes(items: DataFrame, elements: Elements, threshold: float) -> DataFrame:
-    """(key, node, root, n, at): a row for each of the rarest elements of an item (node, root, item), as many as the
-    threshold asks for, but for those that no other item has; with the item's number of elements and the element's place
-    among them. The order is that of slot counts, then of hashes."""
+    """(key, node, root, sketch, n, at, least, w0, ...): a row for each of the rarest elements of an item (node, root,
+    sketch, item), as many as the threshold asks for, but for those that no other item has; with the item's number of
+    elements, the element's place among them, whether it is one of the fewer that suffice for the smaller item of a pair,
+    and the item's parities. The order is that of slot counts, then of hashes."""
     counts = items.sparkSession.sparkContext.broadcast(histogram(items, elements))
+    share = 2 * threshold / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
         for b in batches:
-            key, place, size = [], [], []
-            for e in elements(b.column(2)):
+            key, place, size, words = [], [], [], []
+            for e in elements(b.column(3)):
                 seen = often[(e >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 order = np.lexsort((e, seen))[: len(e) - int(np.ceil(threshold * len(e) - 1e-9)) + 1]
                 at = np.flatnonzero(seen[order] > 1)
                 key.append(e[order[at]])
                 place.append(at)
                 size.append(len(e))
+                words.append(parities(e))
             repeats = np.array([len(k) for k in key])
-            index = pa.array(np.repeat(np.arange(len(key)), repeats))
+            of = np.repeat(np.arange(len(key)), repeats)
+            n, at = np.array(size)[of], np.concatenate(place)
+            least = at <= n - np.ceil(share * n - 1e-9)
             columns = [
-                pa.array(np.concatenate(key).view(np.int64)), b.column(0).take(index), b.column(1).take(index),
-                pa.array(np.repeat(np.array(size, dtype=np.int32), repeats)), pa.array(np.concatenate(place).astype(np.int32)),
+                pa.array(np.concatenate(key).view(np.int64)), *(b.column(i).take(pa.array(of)) for i in range(3)),
+                pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(least), *map(pa.array, np.array(words)[of].T.copy()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "root", "n", "at"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "root", "sketch", "n", "at", "least", *WORDS])
 
-    return items.select("node", "root", "item").mapInArrow(run, "key long, node long, root long, n int, at int")
+    made = "key long, node long, root long, sketch long, n int, at int, least boolean, " + ", ".join(f"{w} long" for w in WORDS)
+    return items.select("node", "root", "sketch", "item").mapInArrow(run, made)
 
 
-def across(rare: DataFrame, still: DataFrame, threshold: float) -> DataFrame:
-    """(x, y): pairs of different components that share a rare element and an open bucket (still: node, root, bands, sketch)
-    and may reach the threshold."""
-    rows = rare.join(still.select("node", "bands", "sketch"), "node")
-    x, y = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("key", "node", "root", "n", "at", "bands", "sketch")]) for side in "xy")
+def across(rare: DataFrame, threshold: float) -> DataFrame:
+    """(x, y): pairs of different components that share a rare element and may reach the threshold. x is the smaller item,
+    for which its very rarest elements suffice: what it has to share is a share of both sizes."""
+    x, y = (rare.select(*[F.col(c).alias(f"{side}_{c}") for c in rare.columns]) for side in "xy")
     apart = F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))
-    needed = (F.col("x_n") + F.col("y_n")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    both = F.col("x_n") + F.col("y_n")
+    needed = both * F.lit(threshold / (1 + threshold)) - 1e-6
+    differ = reduce(add, (F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in WORDS))
     may = (
         (F.col("x_key") == F.col("y_key"))
-        & (F.col("x_node") < F.col("y_node"))
+        & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
         & (F.col("x_root") != F.col("y_root"))
         # At the first element that two items share, all that they share is still to come.
         & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= needed)
         # Sketches of different kinds say nothing.
         & ((F.bit_count(apart) <= APART) | (apart >= 1 << SKETCH_BITS))
-        & F.arrays_overlap("x_bands", "y_bands")
+        & (differ <= both - 2 * needed)
     )
-    return x.join(y, may).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
+    return x.filter("x_least").join(y, may).select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")).distinct()
 
 
 def _open_nodes(members: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root, bands, sketch) of the crowded buckets that hold several components; a node has some tens of bands at
-    most."""
+    """(node, root, sketch) of the crowded buckets that hold several components."""
     of_node = items.select("node", "digest").join(roots, "digest", "left").select("node", F.xxhash64(F.coalesce("root", "digest")).alias("root"))
     held = members.join(of_node, "node")
-    several = held.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    return held.join(several, "band").groupBy("node", "root").agg(F.collect_list("band").alias("bands"), F.min("sketch").alias("sketch"))
+    of_band = held.select(F.explode("bands").alias("band"), "node", "root", "sketch")
+    several = of_band.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
+    return of_band.join(several, "band", "left_semi").select("node", "root", "sketch").distinct()
 
 
 def link(blocks: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float) -> DataFrame:
     """(digest, root) for every digest that is linked to another; root is the least digest of its component. blocks
     are a Dealer's."""
     found = written(met(blocks), "met")
-    members = found.filter("crowded").groupBy(F.col("x").alias("band"), F.col("y").alias("node")).agg(F.min("sketch").alias("sketch"))
     few = found.filter("not crowded").select("x", "y")
     is_crowded = found.filter("crowded").limit(1).count() > 0
     if is_crowded:
-        members = written(members, "members")
+        members = written(crowds(found), "members")
         few = few.union(central_pairs(members))
     pairs = written(few.distinct(), "pairs")
     items = written(fetch(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()), "items")
@@ -319,8 +343,8 @@ def link(blocks: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, th
         roots = written(roots, "roots")
         still = written(_open_nodes(members, items, roots), "open")
         if still.limit(1).count():
-            rare = written(prefixes(items.join(still.select("node", "root"), "node"), elements, threshold), "rare")
-            more = written(verified(across(rare, still, threshold), items, alike), "more")
+            rare = written(prefixes(items.join(still, "node"), elements, threshold), "rare")
+            more = written(verified(across(rare, threshold), items, alike), "more")
             roots = _merged(roots, more)
             freed(rare)
         freed(still, members)
