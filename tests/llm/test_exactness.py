@@ -141,6 +141,19 @@ def test_prefix_join_makes_few_pairs_beyond_the_links(spark):
     assert len(got) <= 2 * len(links)
 
 
+def test_prefix_join_of_lines_loses_no_link(spark):
+    """Lines of other lengths made from the same phrases: few pairs beyond the links."""
+    rng = random.Random(8)
+    phrases = [_line(rng, 14) for _ in range(12)]
+    lines = [" ".join(rng.sample(phrases, rng.randint(6, 8))) for _ in range(60)]
+    lines += [x[: len(x) - i % 12] for i, x in enumerate(lines[:30])]
+    sets = [line_dedup._shingle_set(x) for x in lines]
+    links = {(i, j) for i, j in combinations(range(len(lines)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    table = spark.createDataFrame([(i, i, 0, x) for i, x in enumerate(lines)], "node long, root long, sketch long, item string")
+    got = {(r.x, r.y) for r in lsh.across(lsh.prefixes(table, lsh.by_text(line_dedup.line_elements), 0.8), 0.8).collect()}
+    assert {p for p in links if lines[p[0]] != lines[p[1]]} <= got and len(got) <= 2 * len(links) + 10
+
+
 def test_members_of_crowded_buckets_are_a_row_each(spark):
     rows = [(True, band, node, 3) for band in range(24) for node in range(50)] * 2 + [(False, 1, 2, 0)]
     members = lsh.crowds(spark.createDataFrame(rows, "crowded boolean, x long, y long, sketch long"))
