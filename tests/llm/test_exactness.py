@@ -108,6 +108,50 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == {n: n // 4 * 4 for n in items}
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_strays_of_crowded_buckets_are_compared_without_rows_for_their_elements(spark, monkeypatch, few):
+    """A chain of items whose ends are unlike the central one: links are found from a row for each item of a bucket; only
+    buckets of too many items make a row for each rare element."""
+    rng = random.Random(9)
+    base = [rng.sample(range(1 << 62), 60) for _ in range(20)]
+    items = {4 * g + k: sorted({*b[: 60 - 5 * k], *rng.sample(range(1 << 62), 5 * k)}) for g, b in enumerate(base) for k in range(4)}
+    links = [(i, j) for i, j in combinations(items, 2) if len({*items[i]} & {*items[j]}) >= 0.8 * len({*items[i]} | {*items[j]})]
+    want = {n: n for pair in links for n in pair}
+    for _ in items:
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    made, whole = [], lsh.prefixes
+    monkeypatch.setattr(lsh, "prefixes", lambda *given: made.append(1) or whole(*given))
+    if few:
+        monkeypatch.setattr(lsh, "SCANNED", 50)
+    table = spark.createDataFrame([(n, n.to_bytes(16, "big"), e) for n, e in items.items()], "node long, digest binary, item array<long>")
+    blocks = lsh.spread(table.select("node", F.array(F.lit(5).cast("long"), F.lit(6).cast("long")).alias("bands")))
+    out = lsh.link(blocks, lambda wanted: table.join(wanted, "node"), lsh.overlap(0.8), lsh.as_lists, 0.8)
+    assert {int.from_bytes(r.digest, "big"): int.from_bytes(r.root, "big") for r in out.collect()} == want
+    assert len(made) == few
+
+
+def test_strays_meet_all_that_may_be_alike(monkeypatch):
+    """Against all pairs of a bucket, in runs of few pairs; a negative node, sketches of both kinds."""
+    monkeypatch.setattr(lsh, "COMPARED", 500)
+    items = [np.array(e, dtype=np.uint64) for e in crowd_of_unlike()]
+    rng = np.random.default_rng(2)
+    node, root, kind = np.arange(len(items)) - 50, rng.integers(0, 4, len(items)) ** 2, rng.integers(0, 2, len(items)) << lsh.SKETCH_BITS
+    rows = np.column_stack([np.full(len(items), 7), node, root, kind, [len(e) for e in items], np.array([lsh.parities(e) for e in items])])
+    found = [tuple(p) for pairs in lsh.strays_met(rows, 0.8) for p in pairs.tolist()]
+    sets = [{*e.tolist()} for e in items]
+    links = {(i - 50, j - 50) for i, j in combinations(range(len(items)), 2) if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert links and links <= {*found} and len(found) == len({*found}) <= 3 * len(links) + 20
+    assert all(root[x + 50] != root[y + 50] for x, y in found)
+    assert not list(lsh.strays_met(rows[root == 0], 0.8))
+
+
+def test_texts_are_hashed_once_and_not_for_each_line(spark, capsys):
+    line_dedup._split(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), "doc_id", "text").explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Generate") < plan.index("xxhash64")
+
+
 def test_parities_never_tell_more_than_the_elements():
     rng = np.random.default_rng(6)
     for n, same in [(0, 0), (5, 4), (80, 70), (80, 50), (3000, 2500)]:

@@ -75,11 +75,12 @@ def _multipliers(n: int) -> np.ndarray:
 def full_signatures(hashes: np.ndarray, counts: np.ndarray, registers: int) -> np.ndarray:
     """[line, register]: the least value of each function."""
     starts = np.cumsum(counts) - counts
-    out = np.empty((len(counts), registers), dtype=np.uint32)
+    out = np.empty((registers, len(counts)), dtype=np.uint32)
+    values = np.empty_like(hashes)
     for k, a in enumerate(_multipliers(registers)):
-        values = (hashes * a >> np.uint64(32)).astype(np.uint32)
-        out[:, k] = np.minimum.reduceat(values, starts)
-    return out
+        np.multiply(hashes, a, out=values)
+        out[k] = np.minimum.reduceat(values, starts) >> np.uint64(32)
+    return np.ascontiguousarray(out.T)
 
 
 def sparse_signatures(hashes: np.ndarray, counts: np.ndarray, registers: int) -> np.ndarray:
@@ -94,14 +95,14 @@ def sparse_signatures(hashes: np.ndarray, counts: np.ndarray, registers: int) ->
     rows = np.flatnonzero(~own.all(axis=1) & own.any(axis=1))
     places = np.arange(registers, dtype=np.uint64)
     attempt = 0
-    while len(rows):
+    row, place = np.nonzero(~own[rows])
+    row = rows[row]
+    while len(row):
         attempt += 1
-        lender = (mix(places ^ mix(np.array([attempt], dtype=np.uint64))) % np.uint64(registers)).astype(np.int64)
-        part = out[rows]
-        take = (part == empty) & own[rows][:, lender]
-        part[take] = out[rows][:, lender][take]
-        out[rows] = part
-        rows = rows[(part == empty).any(axis=1)]
+        lender = (mix(places ^ mix(np.array([attempt], dtype=np.uint64))) % np.uint64(registers)).astype(np.int64)[place]
+        take = own[row, lender]
+        out[row[take], place[take]] = out[row[take], lender[take]]
+        row, place = row[~take], place[~take]
     return out
 
 
@@ -115,7 +116,7 @@ def bands_of(signature: np.ndarray, kind: int, bands: int = BANDS, rows: int = R
 
 
 def _some(hashes: np.ndarray, counts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return hashes[np.repeat(chosen, counts)], counts[chosen]
+    return (hashes, counts) if chosen.all() else (hashes[np.repeat(chosen, counts)], counts[chosen])
 
 
 def distinct_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -196,9 +197,9 @@ def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
 
 
 def _split(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(
-        F.col(key).alias("id"), F.xxhash64(text).alias("of"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
-    ).filter(F.col("line").rlike(r"[^ \t-\r]"))
+    # Beside the generator, a text would be hashed for each of its lines.
+    hashed = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
+    return hashed.select("id", "of", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(r"[^ \t-\r]"))
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,13 +17,16 @@ with a probability of some 1 in 10,000, while pairs that share a band by chance,
 input, nearly all go. Items without a sketch (0) are all near.
 
 What the central item may miss is a link between two items neither of which is similar to it. So crowded buckets that
-still hold items of several components are taken up again, exactly: the items' elements are put in order of rarity, two
-items that are similar enough share one of their rarest elements (the prefix of a length that the threshold fixes, shorter
-for the smaller item), and pairs of different components that meet there, and whose lengths, places and parities leave room
-for the threshold, are verified. The parities bound from below in how many elements two items differ, so nearly all pairs
-that meet are told apart in the join, and what it makes follows the links that are found and not the pairs that meet.
-Pairs inside a component are never needed. The order of rarity comes from a histogram of hashed elements, whose size is
-fixed; any order gives the same links, a good one fewer pairs.
+still hold items of several components are taken up again, exactly. Pairs inside a component are never needed, so of a pair
+one item at least is a stray, outside the component that most items of its bucket belong to: strays are compared with all
+items of their bucket, and pairs whose lengths, sketches and parities leave room for the threshold are verified. The
+parities bound from below in how many elements two items differ. A row is an item in a bucket, however long the item.
+
+Scanning a bucket takes its strays times its items, so one of more than SCANNED items is not scanned. Its items' elements are
+put in order of rarity: two items that are similar enough share one of their rarest elements (the prefix of a length that
+the threshold fixes, shorter for the smaller item), and pairs of different components that meet there, with the same room
+for the threshold, are verified. The order of rarity comes from a histogram of hashed elements, whose size is fixed; any
+order gives the same links, a good one fewer pairs.
 """
 
 from __future__ import annotations
@@ -47,8 +50,9 @@ Similar = Callable[[Column, Column], Column]
 #: The sorted distinct elements (64-bit hashes) of each item of a column.
 Elements = Callable[[pa.Array], list[np.ndarray]]
 
-#: Items of a bucket that gives all its pairs, at most. Elements are counted in 2 ** SLOT_BITS slots.
-FEW, SLOT_BITS = 40, 20
+#: Items of a bucket that gives all its pairs, at most; of one whose strays are compared with all its items; pairs that are
+#: compared together. Elements are counted in 2 ** SLOT_BITS slots.
+FEW, SCANNED, COMPARED, SLOT_BITS = 40, 1 << 16, 1 << 18, 20
 #: Parts that the counts of slots are dealt out by.
 SLOT_PARTS = 64
 SKETCH_BITS, APART = 48, 15
@@ -317,13 +321,72 @@ def across(rare: DataFrame, threshold: float) -> DataFrame:
     return x.filter("x_least").join(y, may).select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")).distinct()
 
 
-def _open_nodes(members: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root, sketch) of the crowded buckets that hold several components."""
+def strays_met(rows: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """[pair, 2] nodes of different components that may reach the threshold, from the rows (band, node, root, sketch, number
+    of elements, parities...) of a bucket."""
+    node, root, sketch, n = rows[:, 1:5].T.copy()
+    words = rows[:, 5:].view(np.uint64)
+    _, at, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    stray = at != sizes.argmax()
+    turn = np.where(stray, np.arange(len(rows)), len(rows))  # of two strays, the earlier one meets the later one
+    strays = np.flatnonzero(stray)
+    step = max(1, COMPARED // len(rows))
+    for i in range(0, len(strays), step):
+        own = strays[i : i + step, None]
+        apart = sketch[own] ^ sketch
+        # Sketches of different kinds say nothing.
+        near = (np.bitwise_count(apart) <= APART) | (apart >= 1 << SKETCH_BITS)
+        x, y = np.nonzero(near & (root[own] != root) & (own < turn))
+        x = own[x, 0]
+        both = n[x] + n[y]
+        needed = both * (threshold / (1 + threshold)) - 1e-6
+        may = np.minimum(n[x], n[y]) >= needed
+        x, y, room = x[may], y[may], (both - 2 * needed)[may]
+        differ = np.zeros(len(x), dtype=np.int64)
+        for w in words.T:
+            differ += np.bitwise_count(w[x] ^ w[y])
+        yield np.sort(np.stack([node[x], node[y]], axis=1)[differ <= room], axis=1)
+
+
+def scanned(opened: DataFrame, items: DataFrame, elements: Elements, threshold: float) -> DataFrame:
+    """(x, y): the same pairs of all buckets of the rows (band, node, root, sketch)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = elements(b.column(1))
+            n, marks = pa.array([len(e) for e in found], pa.int64()), pa.array([parities(e).tobytes() for e in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, marks], ["node", "n", "marks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 5 + len(WORDS)), dtype=np.int64)
+
+        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for bucket in np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1):
+                for found in strays_met(bucket, threshold) if len(bucket) else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T.copy()], ["x", "y"])
+
+        for b in batches:
+            marks = np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.int64).reshape(b.num_rows, -1)
+            held = np.concatenate([held, np.column_stack([*(b.column(i).to_numpy() for i in range(5)), marks])])
+            if len(held):
+                whole = np.searchsorted(held[:, 0], held[-1, 0])  # the last bucket may go on
+                yield from pairs(held[:whole])
+                held = held[whole:]
+        yield from pairs(held)
+
+    marked = items.join(opened.select("node").distinct(), "node").select("node", "item").mapInArrow(mark, "node long, n long, marks binary")
+    rows = opened.join(marked, "node").select("band", "node", "root", "sketch", "n", "marks")
+    dealt = rows.repartition(parallelism(items.sparkSession), "band").sortWithinPartitions("band")
+    return dealt.mapInArrow(run, "x long, y long").distinct()
+
+
+def _open_rows(members: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, node, root, sketch, size) of the crowded buckets that hold several components; size is the bucket's."""
     of_node = items.select("node", "digest").join(roots, "digest", "left").select("node", F.xxhash64(F.coalesce("root", "digest")).alias("root"))
     held = members.join(of_node, "node")
     of_band = held.select(F.explode("bands").alias("band"), "node", "root", "sketch")
-    several = of_band.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    return of_band.join(several, "band", "left_semi").select("node", "root", "sketch").distinct()
+    buckets = of_band.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    return of_band.join(buckets.filter("low != high").select("band", "size"), "band")
 
 
 def link(blocks: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float) -> DataFrame:
@@ -341,10 +404,16 @@ def link(blocks: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, th
     roots = _named(components(links))
     if is_crowded:
         roots = written(roots, "roots")
-        still = written(_open_nodes(members, items, roots), "open")
-        if still.limit(1).count():
-            rare = written(prefixes(items.join(still, "node"), elements, threshold), "rare")
-            more = written(verified(across(rare, threshold), items, alike), "more")
+        still = written(_open_rows(members, items, roots), "open")
+        largest = still.agg(F.max("size")).first()[0] or 0
+        if largest:
+            again = scanned(still.filter(F.col("size") <= SCANNED).drop("size"), items, elements, threshold)
+            rare = None
+            if largest > SCANNED:
+                nodes = still.filter(F.col("size") > SCANNED).select("node", "root", "sketch").distinct()
+                rare = written(prefixes(items.join(nodes, "node"), elements, threshold), "rare")
+                again = again.union(across(rare, threshold)).distinct()
+            more = written(verified(again, items, alike), "more")
             roots = _merged(roots, more)
             freed(rare)
         freed(still, members)
