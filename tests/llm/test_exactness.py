@@ -146,6 +146,53 @@ def test_strays_meet_all_that_may_be_alike(monkeypatch):
     assert not list(lsh.strays_met(rows[root == 0], 0.8))
 
 
+def _joined(nodes, links):
+    root = {n: n for n in nodes}
+    for i, j in links:
+        low, high = sorted((root[i], root[j]))
+        root = {n: low if r == high else r for n, r in root.items()}
+    return root
+
+
+def test_items_that_are_nearly_alike_are_compared_in_their_bucket(spark):
+    """Near copies of a text, of which most pairs are just too unlike and some alike: the scan makes fewer rows than the
+    buckets have, not a row for each pair that the parities cannot tell; two texts may have one node."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-1 << 62, 1 << 62, 300)
+    items = []
+    for i in range(240):
+        kept = base[rng.permutation(300)[: 280 if i % 4 else 284]]
+        items.append(np.sort(np.append(kept, rng.integers(-1 << 62, 1 << 62, 300 - len(kept))).view(np.uint64)).view(np.int64))
+    sets = [{*e.tolist()} for e in items]
+    alike = [(i, j) for i, j in combinations(range(240), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    node = [max(i, 1) for i in range(240)]  # the first two texts share one
+    assert 100 < len(alike) < 0.2 * 240 * 239 / 2
+    table = [(node[i], i.to_bytes(16, "big"), e.tolist()) for i, e in enumerate(items)]
+    table = spark.createDataFrame(table, "node long, digest binary, item array<long>")
+    opened = spark.createDataFrame([(b, node[i], i, 0, i.to_bytes(16, "big")) for b in (5, -6) for i in range(240)], "band long, node long, root long, sketch long, digest binary")
+    made = [(r.x, r.y) for r in lsh.scanned(opened, table, lsh.as_lists, 0.8).collect()]
+    links = [(node[i], node[j]) for i, j in alike]
+    assert {*made} <= {*links} and len(made) < 2 * 240
+    assert _joined(node, made) == _joined(node, links)
+
+
+def test_lines_of_crowded_buckets_are_compared_in_their_bucket(spark):
+    rng = random.Random(5)
+    base, lines = _line(rng, 90), []
+    for i in range(100):
+        new = list(base)
+        for at in rng.sample(range(90), 3 if i % 3 else 1):
+            new[at] = rng.choice("ABCDEFGHI\u00e9")
+        lines.append("".join(new))
+    alike = [(i, j) for i, j in combinations(range(100), 2) if line_dedup.are_alike([lines[i]], [lines[j]], 0.8)[0]]
+    assert 100 < len(alike) < 2500
+    table = spark.createDataFrame([(i, i.to_bytes(16, "big"), t) for i, t in enumerate(lines)], "node long, digest binary, item string")
+    opened = table.select(F.lit(5).cast("long").alias("band"), "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("sketch"), "digest")
+    made = [(r.x, r.y) for r in lsh.scanned(opened, table, lsh.by_text(line_dedup.line_elements), 0.8, line_dedup.lines_told(0.8)).collect()]
+    assert {*made} <= {*alike} and len(made) < 100
+    assert _joined(range(100), made) == _joined(range(100), alike)
+
+
 def test_texts_are_hashed_once_and_not_for_each_line(spark, capsys):
     line_dedup._split(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), "doc_id", "text").explain()
     plan = capsys.readouterr().out

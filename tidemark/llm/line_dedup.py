@@ -253,6 +253,11 @@ def alike(threshold: float):
     return lambda a, b: test(a, b)
 
 
+def lines_told(threshold: float):
+    """The same for the bytes of lines, within a task."""
+    return lambda left, right: are_alike([x.decode() for x in left], [x.decode() for x in right], threshold)
+
+
 def line_elements(line: str) -> np.ndarray:
     """The hashes of a line's different shingles."""
     return np.unique(shingle_hashes([line.lower()])[0])
@@ -267,7 +272,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_
         found = found.join(small_side(written(wanted, "wanted")), "node")
         return found.select("node", F.unhex(F.md5("item")).alias("digest"), "item").dropDuplicates(["digest"])
 
-    linked = link(banded(docs, text), fetch, alike(threshold), by_text(line_elements), threshold)
+    linked = link(banded(docs, text), fetch, alike(threshold), by_text(line_elements), threshold, lines_told(threshold))
     distinct = lines(docs, key, text).groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     # Only lines that are repeated or linked are grouped further; all others stand for themselves.
     several = written(

@@ -19,8 +19,10 @@ input, nearly all go. Items without a sketch (0) are all near.
 What the central item may miss is a link between two items neither of which is similar to it. So crowded buckets that
 still hold items of several components are taken up again, exactly. Pairs inside a component are never needed, so of a pair
 one item at least is a stray, outside the component that most items of its bucket belong to: strays are compared with all
-items of their bucket, and pairs whose lengths, sketches and parities leave room for the threshold are verified. The
-parities bound from below in how many elements two items differ. A row is an item in a bucket, however long the item.
+items of their bucket, by their lengths, sketches and parities, which bound from below in how many elements two items
+differ. A row is an item in a bucket, however long the item. Items of which a pair leaves room for the threshold are then
+brought to their bucket whole, and compared there, the closest first. Only pairs that bring two components together leave
+the task, fewer than the bucket has items: pairs of a bucket, whose number grows with the square of its size, are never rows.
 
 Scanning a bucket takes its strays times its items, so one of more than SCANNED items is not scanned. Its items' elements are
 put in order of rarity: two items that are similar enough share one of their rarest elements (the prefix of a length that
@@ -31,6 +33,8 @@ order gives the same links, a good one fewer pairs.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
@@ -49,6 +53,8 @@ Fetch = Callable[[DataFrame], DataFrame]
 Similar = Callable[[Column, Column], Column]
 #: The sorted distinct elements (64-bit hashes) of each item of a column.
 Elements = Callable[[pa.Array], list[np.ndarray]]
+#: The same as Similar within a task, for pairs of the bytes of items: their text in UTF-8, or their sorted distinct keys.
+Told = Callable[[list[bytes], list[bytes]], np.ndarray]
 
 #: Items of a bucket that gives all its pairs, at most; of one whose strays are compared with all its items; pairs that are
 #: compared together. Elements are counted in 2 ** SLOT_BITS slots.
@@ -56,9 +62,11 @@ FEW, SCANNED, COMPARED, SLOT_BITS = 40, 1 << 16, 1 << 18, 20
 #: Parts that the counts of slots are dealt out by.
 SLOT_PARTS = 64
 SKETCH_BITS, APART = 48, 15
-#: An item's parities: 2 ** PARITY_BITS bits, in words; what spreads elements over them.
-PARITY_BITS, _SPREAD = 9, np.uint64(0x9E3779B97F4A7C15)
+#: An item's parities: 2 ** PARITY_BITS bits, in words, or 2 ** FINE_BITS where items are whole; what spreads elements over them.
+PARITY_BITS, FINE_BITS, _SPREAD = 9, 12, np.uint64(0x9E3779B97F4A7C15)
 WORDS = [f"w{i}" for i in range((1 << PARITY_BITS) // 64)]
+#: Bytes of items that are read and compared at a time (a longer pair comes whole).
+READ_BYTES = 8 << 20
 #: The bit of a sketch that marks a row whose bucket is crowded for sure.
 OVER = 1 << 62
 BLOCKS = "part int, block binary"
@@ -259,11 +267,11 @@ def _counted(part: int, slots_and_counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([slots_and_counts.tobytes()], pa.binary())], ["part", "block"])
 
 
-def parities(elements: np.ndarray) -> np.ndarray:
-    """Whether an odd number of an item's distinct elements falls to each of 2 ** PARITY_BITS bits. Those of two items differ
+def parities(elements: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """Whether an odd number of an item's distinct elements falls to each of 2 ** bits bits. Those of two items differ
     in at most as many bits as the items differ in elements, since what they share cancels out."""
-    slots = (elements * _SPREAD >> np.uint64(64 - PARITY_BITS)).astype(np.int64)
-    return np.packbits(np.bincount(slots, minlength=1 << PARITY_BITS).astype(np.uint8) & 1).view(np.int64)
+    slots = (elements * _SPREAD >> np.uint64(64 - bits)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=1 << bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def prefixes(items: DataFrame, elements: Elements, threshold: float) -> DataFrame:
@@ -321,10 +329,11 @@ def across(rare: DataFrame, threshold: float) -> DataFrame:
     return x.filter("x_least").join(y, may).select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y")).distinct()
 
 
-def strays_met(rows: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
-    """[pair, 2] nodes of different components that may reach the threshold, from the rows (band, node, root, sketch, number
-    of elements, parities...) of a bucket."""
-    node, root, sketch, n = rows[:, 1:5].T.copy()
+def _room(rows: np.ndarray, root: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, room): pairs of the rows (band, node, root, sketch, number of elements, parities...) of a bucket that are of
+    different components and may reach the threshold, and in how many more elements they might differ by their parities.
+    root is the rows' component; it may be changed between two turns, as components are joined."""
+    sketch, n = rows[:, 3:5].T.copy()
     words = rows[:, 5:].view(np.uint64)
     _, at, sizes = np.unique(root, return_inverse=True, return_counts=True)
     stray = at != sizes.argmax()
@@ -342,56 +351,175 @@ def strays_met(rows: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
         needed = both * (threshold / (1 + threshold)) - 1e-6
         may = np.minimum(n[x], n[y]) >= needed
         x, y, room = x[may], y[may], (both - 2 * needed)[may]
-        differ = np.zeros(len(x), dtype=np.int64)
         for w in words.T:
-            differ += np.bitwise_count(w[x] ^ w[y])
-        yield np.sort(np.stack([node[x], node[y]], axis=1)[differ <= room], axis=1)
+            room -= np.bitwise_count(w[x] ^ w[y])
+        yield x[room >= 0], y[room >= 0], room[room >= 0]
+
+
+def strays_met(rows: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """[pair, 2] nodes of different components that may reach the threshold, from the rows (band, node, root, sketch, number
+    of elements, parities...) of a bucket."""
+    node = rows[:, 1]
+    for x, y, _ in _room(rows, rows[:, 2], threshold):
+        yield np.sort(np.stack([node[x], node[y]], axis=1), axis=1)
+
 
+def as_bytes(column: pa.Array) -> list[bytes]:
+    """Items of a column as Told takes them."""
+    if pa.types.is_list(column.type):
+        return [e.tobytes() for e in as_lists(column)]
+    return column.cast(pa.binary()).to_pylist()
 
-def scanned(opened: DataFrame, items: DataFrame, elements: Elements, threshold: float) -> DataFrame:
-    """(x, y): the same pairs of all buckets of the rows (band, node, root, sketch)."""
+
+def lists_told(threshold: float) -> Told:
+    """Whether the Jaccard similarity of sorted distinct keys reaches the threshold."""
+
+    def test(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(left), dtype=bool)
+        for i, (a, b) in enumerate(zip(left, right, strict=True)):
+            both = np.sort(np.concatenate([np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.int64)]), kind="stable")
+            shared = int((both[1:] == both[:-1]).sum())
+            out[i] = shared >= threshold * (len(both) - shared)
+        return out
+
+    return test
+
+
+class Bucket:
+    """The rows of a bucket, and the bytes of its items in a file of the task's own, so that memory does not follow them."""
+
+    def __init__(self, file) -> None:
+        self.file, self.band, self.rows, self.sizes = file, None, [], []
+
+    def start(self, band: int) -> None:
+        self.band, self.rows, self.sizes = band, [], []
+        self.file.seek(0)
+        self.file.truncate()
+
+    def add(self, rows: np.ndarray, items: list[bytes]) -> None:
+        self.rows.append(rows)
+        self.sizes += map(len, items)
+        self.file.write(b"".join(items))
+
+    def links(self, told: Told, threshold: float) -> Iterator[np.ndarray]:
+        """[pair, 2] nodes of similar items that bring together two components each, so fewer than there are components."""
+        if len(self.sizes) < 2:
+            return
+        self.file.flush()
+        rows, sizes = np.concatenate(self.rows), np.array(self.sizes)
+        starts = np.cumsum(sizes) - sizes
+        read = lambda at: [os.pread(self.file.fileno(), sizes[i], starts[i]) for i in at.tolist()]
+        root = np.unique(rows[:, 2], return_inverse=True)[1].reshape(-1)
+        for x, y, room in _room(rows, root, threshold):
+            order = np.argsort(-room, kind="stable")
+            x, y, tries, out = x[order], y[order], 1, []
+            while len(x):
+                # Of each two components the closest pairs that were not compared yet, twice as many at every turn.
+                key = np.minimum(root[x], root[y]) * len(rows) + np.maximum(root[x], root[y])
+                by = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+                place = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+                now = np.zeros(len(x), dtype=bool)
+                now[by[place < tries]] = True
+                for turn in _in_runs(np.flatnonzero(now), sizes[x] + sizes[y]):
+                    turn = turn[root[x[turn]] != root[y[turn]]]
+                    found = turn[told(read(x[turn]), read(y[turn]))] if len(turn) else turn
+                    for i, j in zip(x[found].tolist(), y[found].tolist(), strict=True):
+                        if root[i] != root[j]:
+                            root[root == root[j]] = root[i]
+                            out.append((i, j))
+                left = ~now & (root[x] != root[y])
+                x, y, tries = x[left], y[left], 2 * tries
+            if out:
+                yield np.sort(rows[np.array(out), 1], axis=1)
+
+
+def _in_runs(at: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """at in runs of no more than READ_BYTES of the sizes, about."""
+    run = np.cumsum(sizes[at]) // READ_BYTES
+    yield from np.split(at, np.flatnonzero(run[1:] != run[:-1]) + 1)
+
+
+#: What rows of buckets hold.
+OPENED = "band long, node long, root long, sketch long, digest binary"
+
+
+def scanned(opened: DataFrame, items: DataFrame, elements: Elements, threshold: float, told: Told | None = None) -> DataFrame:
+    """(x, y): pairs of nodes of similar items that join all components which similar items of any one bucket of the rows
+    (band, node, root, sketch, digest) belong to."""
+    told = told or lists_told(threshold)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = elements(b.column(1))
+            found = elements(b.column(2))
             n, marks = pa.array([len(e) for e in found], pa.int64()), pa.array([parities(e).tobytes() for e in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, marks], ["node", "n", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, marks], ["node", "digest", "n", "marks"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 5 + len(WORDS)), dtype=np.int64)
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of items that any pair of their bucket leaves room for."""
+        held = np.zeros((0, 7 + len(WORDS)), dtype=np.int64)
 
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def kept(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             for bucket in np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1):
-                for found in strays_met(bucket, threshold) if len(bucket) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T.copy()], ["x", "y"])
+                some = np.zeros(len(bucket), dtype=bool)
+                for x, y, _ in _room(bucket[:, :-2], bucket[:, 2], threshold) if len(bucket) else ():
+                    some[x] = some[y] = True
+                if some.any():
+                    digests = pa.array([d.tobytes() for d in bucket[some, -2:]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, bucket[some, :4].T.copy()), digests], ["band", "node", "root", "sketch", "digest"])
 
         for b in batches:
-            marks = np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.int64).reshape(b.num_rows, -1)
-            held = np.concatenate([held, np.column_stack([*(b.column(i).to_numpy() for i in range(5)), marks])])
+            wide = [np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.int64).reshape(b.num_rows, -1) for i in (5, 6)]
+            held = np.concatenate([held, np.column_stack([*(b.column(i).to_numpy() for i in range(5)), *wide])])
             if len(held):
                 whole = np.searchsorted(held[:, 0], held[-1, 0])  # the last bucket may go on
-                yield from pairs(held[:whole])
+                yield from kept(held[:whole])
                 held = held[whole:]
-        yield from pairs(held)
+        yield from kept(held)
 
-    marked = items.join(opened.select("node").distinct(), "node").select("node", "item").mapInArrow(mark, "node long, n long, marks binary")
-    rows = opened.join(marked, "node").select("band", "node", "root", "sketch", "n", "marks")
-    dealt = rows.repartition(parallelism(items.sparkSession), "band").sortWithinPartitions("band")
-    return dealt.mapInArrow(run, "x long, y long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[pa.RecordBatch]:
+            for pairs in bucket.links(told, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T.copy()], ["x", "y"])
+
+        with tempfile.TemporaryFile() as file:
+            bucket = Bucket(file)
+            for b in batches:
+                band = b.column(0).to_numpy()
+                starts = np.flatnonzero(np.append(True, band[1:] != band[:-1])[: len(band)]).tolist()
+                for i, j in zip(starts, [*starts[1:], len(band)], strict=True):
+                    if band[i] != bucket.band:
+                        yield from found()
+                        bucket.start(band[i])
+                    part = b.slice(i, j - i)
+                    own = elements(part.column(4))
+                    ids = [part.column(k).to_numpy() for k in range(4)]
+                    bucket.add(np.column_stack([*ids, [len(e) for e in own], [parities(e, FINE_BITS) for e in own]]), as_bytes(part.column(4)))
+            yield from found()
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parallelism(items.sparkSession), "band").sortWithinPartitions("band")
+
+    which = ["node", "digest"]
+    marked = items.join(opened.select(*which).distinct(), which).select(*which, "item").mapInArrow(mark, "node long, digest binary, n long, marks binary")
+    rows = opened.join(marked, which).select("band", "node", "root", "sketch", "n", "marks", "digest")
+    some = dealt(rows).mapInArrow(near, OPENED)
+    whole = some.join(items, which).select("band", "node", "root", "sketch", "item")
+    return dealt(whole).mapInArrow(run, "x long, y long").distinct()
 
 
 def _open_rows(members: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, node, root, sketch, size) of the crowded buckets that hold several components; size is the bucket's."""
-    of_node = items.select("node", "digest").join(roots, "digest", "left").select("node", F.xxhash64(F.coalesce("root", "digest")).alias("root"))
+    """(band, node, root, sketch, digest, size) of the crowded buckets that hold several components; size is the bucket's."""
+    of_node = items.select("node", "digest").join(roots, "digest", "left").select("node", "digest", F.xxhash64(F.coalesce("root", "digest")).alias("root"))
     held = members.join(of_node, "node")
-    of_band = held.select(F.explode("bands").alias("band"), "node", "root", "sketch")
+    of_band = held.select(F.explode("bands").alias("band"), "node", "root", "sketch", "digest")
     buckets = of_band.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
     return of_band.join(buckets.filter("low != high").select("band", "size"), "band")
 
 
-def link(blocks: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float) -> DataFrame:
+def link(blocks: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, threshold: float, told: Told | None = None) -> DataFrame:
     """(digest, root) for every digest that is linked to another; root is the least digest of its component. blocks
-    are a Dealer's."""
+    are a Dealer's; told is alike within a task, by default that of lists of keys."""
     found = written(met(blocks), "met")
     few = found.filter("not crowded").select("x", "y")
     is_crowded = found.filter("crowded").limit(1).count() > 0
@@ -407,7 +535,7 @@ def link(blocks: DataFrame, fetch: Fetch, alike: Similar, elements: Elements, th
         still = written(_open_rows(members, items, roots), "open")
         largest = still.agg(F.max("size")).first()[0] or 0
         if largest:
-            again = scanned(still.filter(F.col("size") <= SCANNED).drop("size"), items, elements, threshold)
+            again = scanned(still.filter(F.col("size") <= SCANNED).drop("size"), items, elements, threshold, told)
             rare = None
             if largest > SCANNED:
                 nodes = still.filter(F.col("size") > SCANNED).select("node", "root", "sketch").distinct()
