@@ -176,6 +176,17 @@ def test_items_that_are_nearly_alike_are_compared_in_their_bucket(spark):
     assert _joined(node, made) == _joined(node, links)
 
 
+def test_elements_of_many_lines_are_those_of_each(monkeypatch):
+    rng = random.Random(8)
+    lines = ["a", "Aé" * 40, "", *(_line(rng, rng.randrange(1, 300)) for _ in range(60)), "ab ab ab ab ab ab"]
+    column = pa.array(["x", *lines])[1:]
+    for chars in (1, 200, 1 << 20):
+        monkeypatch.setattr(line_dedup, "CHUNK", chars)
+        got = line_dedup.lines_elements(column)
+        assert len(got) == len(lines) and all((a == line_dedup.line_elements(b)).all() and len(a) == len(line_dedup.line_elements(b)) for a, b in zip(got, lines, strict=True))
+    assert line_dedup.lines_elements(column[:0]) == []
+
+
 def test_lines_of_crowded_buckets_are_compared_in_their_bucket(spark):
     rng = random.Random(5)
     base, lines = _line(rng, 90), []
@@ -188,7 +199,7 @@ def test_lines_of_crowded_buckets_are_compared_in_their_bucket(spark):
     assert 100 < len(alike) < 2500
     table = spark.createDataFrame([(i, i.to_bytes(16, "big"), t) for i, t in enumerate(lines)], "node long, digest binary, item string")
     opened = table.select(F.lit(5).cast("long").alias("band"), "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("sketch"), "digest")
-    made = [(r.x, r.y) for r in lsh.scanned(opened, table, lsh.by_text(line_dedup.line_elements), 0.8, line_dedup.lines_told(0.8)).collect()]
+    made = [(r.x, r.y) for r in lsh.scanned(opened, table, line_dedup.lines_elements, 0.8, line_dedup.lines_told(0.8)).collect()]
     assert {*made} <= {*alike} and len(made) < 100
     assert _joined(range(100), made) == _joined(range(100), alike)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import free_name, freed, slices, small_side, written
-from tidemark.llm.lsh import BLOCKS, Dealer, by_text, link, n_parts, sketches
+from tidemark.llm.lsh import BLOCKS, Dealer, link, n_parts, sketches
 from tidemark.llm.near_dedup import mix
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -263,6 +263,25 @@ def line_elements(line: str) -> np.ndarray:
     return np.unique(shingle_hashes([line.lower()])[0])
 
 
+def lines_elements(column: pa.Array) -> list[np.ndarray]:
+    """The same for each line of a column, for lines of up to CHUNK characters together (a longer one comes alone)."""
+    lines, out, at = [t.lower() for t in column.to_pylist()], [], 0
+    while at < len(lines):
+        end, chars = at + 1, len(lines[at])
+        while end < len(lines) and chars + len(lines[end]) <= CHUNK:
+            chars += len(lines[end])
+            end += 1
+        hashes, counts = shingle_hashes(lines[at:end])
+        of = np.repeat(np.arange(end - at), counts)
+        order = np.lexsort((hashes, of))
+        hashes, of = hashes[order], of[order]
+        fresh = np.ones(len(of), dtype=bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+        out += np.split(hashes[fresh], np.searchsorted(of[fresh], np.arange(1, end - at)))
+        at = end
+    return out
+
+
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(digest, rep, class_size) of the distinct lines with a word that are not alone in their class: the place of the line
     that stays for them."""
@@ -272,7 +291,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_
         found = found.join(small_side(written(wanted, "wanted")), "node")
         return found.select("node", F.unhex(F.md5("item")).alias("digest"), "item").dropDuplicates(["digest"])
 
-    linked = link(banded(docs, text), fetch, alike(threshold), by_text(line_elements), threshold, lines_told(threshold))
+    linked = link(banded(docs, text), fetch, alike(threshold), lines_elements, threshold, lines_told(threshold))
     distinct = lines(docs, key, text).groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     # Only lines that are repeated or linked are grouped further; all others stand for themselves.
     several = written(
